@@ -27,7 +27,7 @@ def ledger_running(spark: SparkSession, sf_dir: str) -> DataFrame:
             "event_id",
             F.date_format("day", "yyyy-MM-dd").alias("day"),
             "used",
-            F.round(F.col("used") / F.lit(DAILY_ALLOWANCE), 2).alias("percent"),
+            (F.floor((F.col("used") + 50) / 100) / 100).alias("percent"),
             F.date_format(F.col("day") + F.expr("interval 1 day"), "yyyy-MM-dd").alias("resets_on"),
         )
     )
@@ -38,7 +38,7 @@ ORACLE = {
     "ledger_running": """
         WITH e AS (SELECT event_id, ts, date_trunc('day', ts) AS day, CAST(round(value * 100) AS BIGINT) AS cents FROM events WHERE value > 0),
         r AS (SELECT event_id, day, least(1000000, CAST(sum(cents) OVER (PARTITION BY day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT)) AS used FROM e)
-        SELECT event_id, strftime(day, '%Y-%m-%d') AS day, used, round(used / 10000.0, 2) AS percent,
+        SELECT event_id, strftime(day, '%Y-%m-%d') AS day, used, floor((used + 50) / 100) / 100 AS percent,
                strftime(day + INTERVAL 1 DAY, '%Y-%m-%d') AS resets_on FROM r
     """
 }
