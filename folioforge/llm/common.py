@@ -62,7 +62,7 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string array, and the n + 1 offsets into them, without a copy per row."""
-    wide = isinstance(texts.type, type(pa.large_string())) or pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     _, offs, data = texts.buffers()
     if len(texts) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -71,12 +71,12 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def row_blocks(off: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most limit bytes each, one row at least."""
+def row_blocks(off: np.ndarray, limit: int = BLOCK_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most limit bytes and that many rows each, one row at least."""
     n, a = len(off) - 1, 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
-        b = min(b, n)
+        b = min(b, n, a + rows)
         yield a, b
         a = b
 
@@ -140,3 +140,20 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     last[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(off, starts, "right") - 1
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, bound: int) -> DataFrame:
+    """(doc_id, text, label) of at most bound labelled rows outside the held-out fold, those whose ids hash lowest.
+
+    The bound keeps what is fitted on the driver small at any size; rows with a null label or text don't count.
+    """
+    ids = (
+        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_of_id() % modulus != held_out))
+        .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    )
+    return docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

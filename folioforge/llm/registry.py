@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioforge.llm import packing
+from folioforge.llm import packing, quality
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (packing,):
+for _part in (packing, quality):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
