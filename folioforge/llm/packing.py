@@ -203,6 +203,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = F
     """
     pieces = tokenise(docs, capacity, with_ids=with_ids)
     pieces = pieces if with_ids else pieces.drop("ids")
+    pieces = stage(pieces, "tokens")  # else the range sort's sampling would tokenise everything once more
     return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
 
 
