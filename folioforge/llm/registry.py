@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioforge.llm import packing, quality
+from folioforge.llm import packing, quality, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (packing, quality):
+for _part in (packing, quality, toxicity):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
