@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioforge.llm import chunkdedup, packing, quality, sharding, toxicity
+from folioforge.llm import chunkdedup, jaccardjoin, packing, quality, sharding, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (packing, chunkdedup, toxicity, sharding, quality):
+for _part in (packing, chunkdedup, jaccardjoin, toxicity, sharding, quality):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
