@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioforge.llm import chunkdedup, jaccardjoin, neighbours, packing, quality, sharding, toxicity
+from folioforge.llm import chunkdedup, jaccardjoin, neardedup, neighbours, packing, quality, sharding, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (packing, chunkdedup, jaccardjoin, toxicity, neighbours, sharding, quality):
+for _part in (packing, chunkdedup, jaccardjoin, toxicity, neighbours, sharding, quality, neardedup):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
