@@ -17,7 +17,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from folioforge.llm.common import SpanHash, bytes_of, mix, read, row_blocks, stage, word_spans
 from folioforge.llm.graph import components
@@ -174,7 +173,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
         .select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "grams"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
+        pdf = pdf.drop_duplicates("node").sort_values("node")
         i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
         sides = [pdf[pdf.own == i]] if i == j else [pdf[pdf.own == i], pdf[pdf.own == j]]
         if any(s.empty for s in sides):
@@ -213,27 +212,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows: int = R
     edges = keyed.join(shared, ["band", "key"]).where("node <> dst").select(F.col("node").alias("src"), "dst")
     groups = stage(components(edges), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    members = groups.join(sizes, "root").join(alike.select("node", "rep", "copies"), "node").select("rep", "node", "copies", F.col("root").alias("grp"), "size")
+    members = groups.join(sizes, "root").join(alike, "node").select(F.col("rep").alias("did"), "node", "copies", F.col("root").alias("grp"), "size", "h1", "h2")
 
-    @arrow_udf("binary")
-    def gram_set(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in parts:
-            out = []
-            for data, off in lowered(texts):
+    def gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
+            for data, off in lowered(batch.column("_text")):
                 grams, o = shingles(data, off)
-                out += [grams[a:b].tobytes() for a, b in zip(o[:-1].tolist(), o[1:].tolist())]
-            yield pa.array(out, pa.binary())
-
-    # Rows that share an id may have other texts: the digest of the set decides.
-    @arrow_udf("struct<h1: bigint, h2: bigint>")
-    def digest(sets: pa.Array) -> pa.Array:
-        halves = np.frombuffer(b"".join(hashlib.blake2b(s.as_py(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
-        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(halves[:, k])) for k in (0, 1)], ["h1", "h2"])
-
-    chosen = (
-        base.join(members.withColumnRenamed("rep", "did"), "did").withColumn("grams", gram_set("_text")).withColumn("d", digest("grams"))
-        .join(alike.select("node", "h1", "h2"), "node").where("d.h1 = h1 AND d.h2 = h2").dropDuplicates(["node"])
-        .select("grp", "size", "node", "copies", "grams"))
+                sets = [grams[a:b].tobytes() for a, b in zip(o[:-1].tolist(), o[1:].tolist())]
+                # Rows that share an id may have other texts: the digest of the set decides.
+                halves = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in sets), np.int64).reshape(-1, 2)
+                n = len(sets)
+                own = np.flatnonzero((halves[:, 0] == h1[at : at + n]) & (halves[:, 1] == h2[at : at + n]))
+                part = batch.slice(at, n).take(pa.array(own))
+                at += n
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("grp", "size", "node", "copies")), pa.array([sets[k] for k in own], pa.binary())], ["grp", "size", "node", "copies", "grams"])
+
+    # After the join, so that only members of candidate groups are cut into n-grams.
+    chosen = base.join(members, "did").select("grp", "size", "node", "copies", "h1", "h2", "_text").mapInArrow(gram_sets, "grp long, size long, node long, copies long, grams binary")
     found = stage(verified(chosen, threshold), "verified")
     links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("other IS NOT NULL").select(F.col("node").alias("src"), F.col("other").alias("dst")))
