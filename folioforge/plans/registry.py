@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioforge.plans import ledger
+from folioforge.plans import ledger, scalars
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (ledger,):
+for _part in (ledger, scalars):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
