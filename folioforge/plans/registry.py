@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioforge.plans import ledger, scalars
+from folioforge.plans import ledger, papers, scalars
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (ledger, scalars):
+for _part in (ledger, scalars, papers):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
