@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioforge.plans import ledger, papers, scalars
+from folioforge.plans import ledger, papers, records, scalars
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (ledger, scalars, papers):
+for _part in (ledger, scalars, papers, records):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
