@@ -146,7 +146,7 @@ QUERIES = {
     "p27_first_difference": lambda s, d: C.first_difference(docs_of_papers(s, d, False), docs_of_papers(s, d, True)),
     "m1_order_pages": lambda s, d: C.order_pages(made(PAPER_PAGES)(s, d)).select("paper", "arrival", "number", "ord"),
     "m24_picture_candidates": lambda s, d: C.picture_candidates(made(PICTURES)(s, d), ["cc0"]).select("query", "url", "rank"),
-    "m26_scale_boxes": lambda s, d: C.scale_boxes(made(BOXES)(s, d), 595.0, 842.0, 36.0).select("page", "box", "x", "w"),
+    "m26_scale_boxes": lambda s, d: C.scale_boxes(made(BOXES)(s, d), 595.0, 842.0, 36.0).select("page", "box", F.round("x", 1).alias("x"), F.round("w", 1).alias("w")),
     "k7_public_fields": lambda s, d: C.public_fields(table(s, d, "customer"), ["c_acctbal", "c_mktsegment"]),
 }
 
@@ -205,6 +205,6 @@ ORACLE = {
     "p27_first_difference": f"WITH {blocks_cte(LINES_SQL)}, c AS (SELECT doc_id, CAST(block AS INT) AS ord, text AS a, upper(text) AS b FROM b WHERE doc_id % 5 = 0 AND block % 4 = 0 AND upper(text) <> text) SELECT doc_id, min(ord) AS ord, arg_min(a, ord) AS a, arg_min(b, ord) AS b FROM c GROUP BY doc_id",
     "m1_order_pages": f"WITH p AS ({PAPER_PAGES}), s AS (SELECT *, count(number) OVER w = count(*) OVER w AND len(list_distinct(list(number) OVER w)) = count(*) OVER w AS sound FROM p WINDOW w AS (PARTITION BY paper)) SELECT paper, arrival, number, row_number() OVER (PARTITION BY paper ORDER BY CASE WHEN sound THEN number ELSE arrival END, arrival) AS ord FROM s",
     "m24_picture_candidates": f"SELECT query, url, row_number() OVER (PARTITION BY query ORDER BY (lower(title) = lower(query)) DESC, regexp_matches(lower(title), 'outline|line art|drawing') DESC, title, url) AS rank FROM ({PICTURES}) p WHERE starts_with(url, 'https://') AND licence = 'cc0' AND starts_with(mime, 'image/') AND least(w, h) >= 200 QUALIFY rank <= 24",
-    "m26_scale_boxes": f"WITH b AS ({BOXES}), k AS (SELECT *, least(523.0 / greatest(max(x + w) OVER p - min(x) OVER p, 1), 770.0 / greatest(max(y + h) OVER p - min(y) OVER p, 1)) AS k, min(x) OVER p AS lx FROM b WINDOW p AS (PARTITION BY page)) SELECT page, box, round((x - lx) * k + 36, 3) AS x, round(w * k, 3) AS w FROM k",
+    "m26_scale_boxes": f"WITH b AS ({BOXES}), k AS (SELECT *, least(523.0 / greatest(max(x + w) OVER p - min(x) OVER p, 1), 770.0 / greatest(max(y + h) OVER p - min(y) OVER p, 1)) AS k, min(x) OVER p AS lx FROM b WINDOW p AS (PARTITION BY page)) SELECT page, box, round(round((x - lx) * k + 36, 3), 1) AS x, round(round(w * k, 3), 1) AS w FROM k",
     "k7_public_fields": "SELECT * EXCLUDE (c_acctbal, c_mktsegment) FROM customer",
 }

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioforge.plans import ledger, papers, records, scalars
+from folioforge.plans import ledger, papers, records, scalars, verification
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (ledger, scalars, papers, records):
+for _part in (ledger, scalars, papers, records, verification):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
