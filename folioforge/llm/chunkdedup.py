@@ -54,7 +54,13 @@ def chunk_ends(data: np.ndarray, off: np.ndarray) -> list[list[int]]:
     """For each text the ends of its chunks, which cover it. A chunk without a cut ends at MOST bytes, at a character."""
     if not len(data):
         return [[] for _ in off[1:]]
-    cuts = cut_points(data)
+    # Zeros between the texts, so that a text's cuts don't depend on its neighbours.
+    pad = REACH + 16
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    apart = np.zeros(len(data) + pad * len(off), np.uint8)
+    apart[np.arange(len(data)) + (row + 1) * pad] = data
+    cuts = cut_points(apart)
+    cuts -= (np.searchsorted(off[1:] + np.arange(1, len(off)) * pad, cuts, "left") + 1) * pad
     bounds = np.searchsorted(cuts, off)
     out = []
     for a, b, lo, hi in zip(off[:-1].tolist(), off[1:].tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
