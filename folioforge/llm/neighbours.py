@@ -3,7 +3,7 @@
 A bounded sample is split into balanced clusters, whose centroids are broadcast with a neighbour graph over them.
 Every vector goes to the posting list of its nearest centroid, and boundary vectors, almost as near to others, to
 those lists too. A query walks the centroid graph, and the ratio of a centroid's distance to the nearest one's
-decides whether its list is read. Lists and the queries on them meet in blocks of bounded size.
+decides whether its list is read; how large a ratio, is fitted on the sample, against brute force there. Lists and the queries on them meet in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from folioforge.llm.vectors import matrix, usable
 SAMPLE, SAMPLE_BYTES, MOST_LISTS = 16_384, 32 << 20, 512
 #: Vectors of a list to aim at, while MOST_LISTS allows.
 LIST = 400
-#: A vector goes to further lists whose centroid is at most so much farther, at most so many; a query reads lists likewise.
-COPY_RATIO, COPIES, READ_RATIO = 1.06, 3, 1.1
+#: A vector goes to further lists whose centroid is at most so much farther, at most so many.
+COPY_RATIO, COPIES = 1.06, 3
+#: A query reads the lists up to a ratio of distances too: the least one here with which AUDIT queries of the sample reach RECALL.
+READ_RATIOS, AUDIT, RECALL = tuple(1 + 0.02 * k for k in range(1, 60)), 256, 0.96
 #: Centroid graph: neighbours of a node, and the least number of centroids that a search keeps.
 DEGREE, BEAM = 24, 64
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
@@ -38,6 +40,7 @@ class Lists:
     centroids: np.ndarray
     graph: np.ndarray
     entry: int
+    ratio: float = READ_RATIOS[-1]
 
 
 def balanced_leaves(x: np.ndarray, leaves: int, seed: int = 3) -> np.ndarray:
@@ -70,14 +73,44 @@ def build(sample: np.ndarray, rows: int) -> Lists:
     d = squared(c, c)
     np.fill_diagonal(d, np.inf)
     graph = np.argsort(d, axis=1, kind="stable")[:, : min(DEGREE, len(c) - 1)]
-    return Lists(c, graph, int(squared(c, c.mean(0)[None])[:, 0].argmin()))
-
-
-def search(lists: Lists, q: np.ndarray, ratio: float = READ_RATIO, beam: int = BEAM) -> list[int]:
+    lists = Lists(c, graph, int(squared(c, c.mean(0)[None])[:, 0].argmin()))
+    lists.ratio = calibrated(lists, sample)
+    return lists
+
+
+def posted(centroids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and list of every posting of the vectors."""
+    d = np.sqrt(squared(x, centroids))
+    near = np.argsort(d, axis=1, kind="stable")[:, : min(COPIES, d.shape[1])]
+    far = np.take_along_axis(d, near, 1)
+    row, col = np.nonzero(far <= np.maximum(COPY_RATIO * far[:, :1], 1e-12))
+    return row, near[row, col]
+
+
+def calibrated(lists: Lists, sample: np.ndarray) -> float:
+    """The least read ratio with which some of the sample find RECALL of their nearest others in it, against brute force."""
+    queries = np.linspace(0, len(sample) - 1, min(AUDIT, len(sample))).astype(int)
+    parts = [(a, *posted(lists.centroids, sample[a : a + 2048])) for a in range(0, len(sample), 2048)]
+    row, of = np.concatenate([r + a for a, r, _ in parts]), np.concatenate([k for _, _, k in parts])
+    needed = []
+    for q in queries:
+        d = ((sample - sample[q]) ** 2).sum(1)
+        d[q] = np.inf
+        near = np.argsort(d, kind="stable")[: min(NEAREST, len(sample) - 1)]
+        c = np.sqrt(((lists.centroids - sample[q]) ** 2).sum(1))
+        reach = np.full(len(sample), np.inf)
+        np.minimum.at(reach, row, c[of] / max(c.min(), 1e-12))
+        needed.append(reach[near])
+    needed = np.concatenate(needed) if needed else np.zeros(0)
+    return next((r for r in READ_RATIOS if not len(needed) or (needed <= r).mean() >= RECALL), READ_RATIOS[-1])
+
+
+def search(lists: Lists, q: np.ndarray, ratio: float | None = None, beam: int = BEAM) -> list[int]:
     """Centroids within ratio times the nearest distance, by best-first search over the graph.
 
     A node is expanded if it is within the ratio of the best so far, or among the beam nearest met.
     """
+    ratio = ratio or lists.ratio
     met = np.zeros(len(lists.centroids), bool)
     dist: dict[int, float] = {}
 
@@ -113,7 +146,7 @@ def sample_of(rows: DataFrame) -> np.ndarray:
     return matrix(got.column("v"))
 
 
-def nearest(table: DataFrame, k: int = NEAREST, every: int = 100, ratio: float = READ_RATIO) -> DataFrame:
+def nearest(table: DataFrame, k: int = NEAREST, every: int = 100, ratio: float | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for the vectors whose id is divisible by every, against all others.
 
     score is the Euclidean distance in double precision; ties go to the smaller vec_id. Which vectors take part,
@@ -133,12 +166,8 @@ def nearest(table: DataFrame, k: int = NEAREST, every: int = 100, ratio: float =
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
-                d = np.sqrt(squared(matrix(part.column("v")), c))
-                m = min(COPIES, d.shape[1])
-                near = np.argsort(d, axis=1, kind="stable")[:, :m]
-                far = np.take_along_axis(d, near, 1)
-                row, col = np.nonzero(far <= np.maximum(COPY_RATIO * far[:, :1], 1e-12))
-                yield pa.RecordBatch.from_arrays([pa.array(near[row, col], pa.int32()), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "vec_id", "v"])
+                row, of = posted(c, matrix(part.column("v")))
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "vec_id", "v"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
