@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioforge.plans import ledger, papers, records, scalars, verification
+from folioforge.plans import ledger, papers, records, scalars, texts, verification
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (ledger, scalars, papers, records, verification):
+for _part in (ledger, scalars, papers, records, verification, texts):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
