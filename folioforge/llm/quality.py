@@ -86,6 +86,16 @@ def weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return unit(np.concatenate([unit(x[:, :BUCKETS] * idf[:BUCKETS]), x[:, BUCKETS:] * (idf[BUCKETS:] / 8)], axis=1))
 
 
+def leading(x: np.ndarray, rank: int, seed: int = 17, rounds: int = 6) -> np.ndarray:
+    """The leading right singular vectors, by subspace iteration from a fixed start, with fixed signs."""
+    q = np.random.Generator(np.random.PCG64(seed)).standard_normal((x.shape[1], min(rank + 16, *x.shape)))
+    for _ in range(rounds):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    _, _, turn = np.linalg.svd(x @ q, full_matrices=False)
+    basis = q @ turn[:rank].T
+    return basis * np.sign(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])])
+
+
 def fit(sample: DataFrame, rank: int = RANK) -> Model | None:
     """The model from (doc_id, text, label); None if there is no labelled row."""
 
@@ -101,9 +111,7 @@ def fit(sample: DataFrame, rank: int = RANK) -> Model | None:
     x = np.frombuffer(b"".join(rows.v), np.float16).reshape(len(rows), BUCKETS + SHAPES).astype(np.float32)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
     x = weighted(x, idf)
-    values, basis = np.linalg.eigh((x.T @ x).astype(np.float64))
-    basis = basis[:, np.argsort(values)[::-1][: min(rank, len(x))]]
-    basis *= np.sign(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])])
+    basis = leading(x, min(rank, len(x)))
     project = basis.astype(np.float32)
     labels = rows.label.to_numpy(np.float32)
     return Model(idf, project, unit(x @ project), labels, float(labels.mean()))
