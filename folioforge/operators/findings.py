@@ -6,7 +6,7 @@ texts within two edits differ by two characters at most, so each value meets the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
@@ -67,7 +67,10 @@ def year_confusions(docs: DataFrame) -> DataFrame:
 
 
 def duplicate_of(docs: DataFrame) -> DataFrame:
-    """[J7] For each document the first one with the same digest, null for that one itself."""
-    same = Window.partitionBy("digest")
-    return docs.withColumn("digest", F.sha2("text", 256)).withColumn("first", F.min("doc_id").over(same)).select(
-        "doc_id", "digest", F.when(F.col("first") != F.col("doc_id"), F.col("first")).alias("duplicate_of"))
+    """[J7] For each document the first one with the same digest, null for that one itself.
+
+    The first of each digest is found by an aggregate, which combines before the shuffle, and joined back, so a text that very many documents share can be split over tasks.
+    """
+    own = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
+    first = own.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    return own.join(first, "digest").select("doc_id", "digest", F.when(F.col("first") != F.col("doc_id"), F.col("first")).alias("duplicate_of"))

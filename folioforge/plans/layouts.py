@@ -21,7 +21,7 @@ IDENTITIES = [(1, "Class: 5\nSubject: Maths"), (2, "कक्षा: ३ | व
 HEADS = [(1, "I. Answer these 5x2=10 M"), (2, "[[SECTION_ROW: IV. Write || 3½M]]"), (3, "f(5)"), (4, "(2, 3)"), (5, "II) Read ५ अंक"), (6, "plain")]
 FORMATS = [(1, "I. Label the diagram\n1. a"), (2, "I. Write an essay"), (3, "I. Match\nII. Tick"), (4, "I. Answer\n1. draw a diagram"), (5, "")]
 LAYERS = [(1, "fine text"), (2, "bad "), (3, "x �"), (4, "कि ठीक"), (5, " ि्")]
-ENGINES = "SELECT l_orderkey * 10 + l_linenumber AS line, l_suppkey % 5 * 1000000 + l_partkey AS engine, CASE l_suppkey % 3 WHEN 0 THEN 'Same  text' WHEN 1 THEN 'same text' ELSE 'other' END AS text, CAST(l_partkey % 100 AS DOUBLE) / 100 AS confidence FROM lineitem WHERE l_orderkey % 4 = 0"
+ENGINES = "SELECT l_orderkey * 10 + l_linenumber AS line, l_suppkey % 5 * 1000000 + l_partkey AS engine, CASE l_suppkey % 3 WHEN 0 THEN 'Same  text' WHEN 1 THEN 'same text' ELSE 'other' END AS text, CAST(l_partkey % 100 AS DOUBLE) / 100 AS confidence FROM lineitem"
 PAGES = "SELECT user_id AS job, event_id AS page, CAST(event_id % 100 AS DOUBLE) / 100 AS confidence FROM events"
 SAVED = "SELECT user_id AS key, event_id AS page, CAST(floor(value) AS BIGINT) AS size, ts FROM events"
 WORDS = "SELECT a.c_custkey AS id, a.c_name AS a, b.c_name AS b FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey * 7 % 1500"
@@ -39,10 +39,10 @@ def by_lines(data, op):
 
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grey images made of the documents' first bytes; the whole text still decides the width."""
-    df = made("SELECT doc_id AS id, text FROM documents")(spark, sf_dir)
-    side = F.floor(F.sqrt(F.octet_length("text"))).cast("int")
-    return P.image_measures(df.select("id", side.alias("width"), side.alias("height"), F.expr("substring(cast(text AS binary), 1, cast(floor(sqrt(octet_length(text))) AS int) * cast(floor(sqrt(octet_length(text))) AS int))").alias("pixels")))
+    """Grey images made of the documents' bytes, as square as they get, the last row filled up with black."""
+    df = made("SELECT doc_id AS id, text FROM documents")(spark, sf_dir).withColumn("width", F.greatest(F.lit(1), F.ceil(F.sqrt(F.octet_length("text")))).cast("int"))
+    sized = df.withColumn("height", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / F.col("width"))).cast("int"))
+    return P.image_measures(sized.select("id", "width", "height", F.expr("rpad(cast(text AS binary), width * height, X'00')").alias("pixels")))
 
 
 QUERIES = {
@@ -65,7 +65,16 @@ QUERIES = {
     "f42_styled_runs": rows([(1, "a [[UNDERLINE: b]] c [[CIRCLED: d]]"), (2, "plain")], lambda: M.over_texts(lambda t: repr(M.styled_runs(t)))("text")),
     "f44_image_measures": rasters,
 }
-ORACLE = {
+_EXPECTED = {
+    "f19_field_labels": [(1, "class,subject"), (2, "class,subject"), (3, ""), (4, "class,subject")],
+    "f42_styled_runs": [(1, "[('', 'a '), ('underline', 'b'), ('', ' c '), ('circled', 'd')]"), (2, "[('', 'plain')]")],
+}
+ORACLE = {name: f"SELECT * FROM ({fixtures.values_sql(data)}) f(id, v)" for name, data in _EXPECTED.items()}
+ORACLE |= {
+    "m2_identity": "SELECT * FROM (VALUES (1, '5', 'Maths'), (2, '३', 'हिन्दी'), (3, NULL, NULL), (4, 'V', 'EVS')) f(doc_id, class, subject)",
+    "m9_join_brackets": "SELECT * FROM (VALUES (1, 0, '1. The sun rises ( )'), (1, 2, '2. It sets [ ]'), (1, 4, 'x'), (2, 0, '( )'), (2, 1, 'a')) f(doc_id, line_no, line)",
+    "m12_picture_notes": "SELECT 1 AS doc_id, 'I. Name these' AS section, '[[PICTURE_ROW: duck || fish]]' AS line",
+    "m8_repair_antonyms": "SELECT * FROM (VALUES (1, 0, 'I. Write the opposites'), (1, 1, 'big - small'), (1, 2, 'II. Match'), (1, 3, '[[MATCH_ROW: a || b]]'), (2, 0, 'text')) f(doc_id, line_no, line)",
     "p8_missing_responses": "SELECT doc_id, sec, items, with_place FROM (VALUES (1, 1, 2, 0), (3, 1, 3, 2), (5, 1, 2, 0), (6, 1, 2, 0)) f(doc_id, sec, items, with_place)",
     "m6_text_layer": "SELECT id, v FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false)) f(id, v)",
     "m7_automatic_format": "SELECT doc_id, format FROM (VALUES (1, 'science'), (2, 'humanities'), (3, 'worksheet'), (4, 'compact'), (5, 'compact')) f(doc_id, format)",

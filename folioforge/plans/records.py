@@ -27,9 +27,9 @@ def made(sql: str):
     return build
 
 
-#: Field values: customers' names by nation and segment, an extra line per fifth customer to make frequencies differ.
+#: Field values: customers' names by nation and segment, and a second line each, the name again for every fifth, so that frequencies differ.
 VALUES = """SELECT CAST(c_nationkey AS BIGINT) AS doc_id, c_mktsegment AS field, substring(c_name, 14, 5) AS value, CAST(c_custkey AS INT) AS line_no FROM customer
-    UNION ALL SELECT CAST(c_nationkey AS BIGINT), c_mktsegment, substring(c_name, 14, 5), CAST(c_custkey AS INT) + 1000000 FROM customer WHERE c_custkey % 5 = 0"""
+    UNION ALL SELECT CAST(c_nationkey AS BIGINT), c_mktsegment, CASE WHEN c_custkey % 5 = 0 THEN substring(c_name, 14, 5) ELSE 'account ' || CAST(c_custkey * 7919 AS VARCHAR(12)) END, CAST(c_custkey AS INT) + 1000000 FROM customer"""
 FIELD_LINES = """SELECT c_custkey AS doc_id, 0 AS line_no, 'Name: ' || c_name AS line FROM customer UNION ALL SELECT c_custkey, 1, '  Segment - ' || c_mktsegment || ' ' FROM customer
     UNION ALL SELECT c_custkey, 2, 'no field here ' || CAST(c_nationkey AS VARCHAR(9)) FROM customer UNION ALL SELECT c_custkey, 3, 'Balance2: 5' FROM customer"""
 YEAR_DOCS = "SELECT s_suppkey AS doc_id, 'Built ' || CAST(1500 + s_suppkey % 400 AS VARCHAR(9)) || ' and ' || CAST(1500 + (s_suppkey * 7) % 500 AS VARCHAR(9)) || ', ' || CAST(1560 + s_suppkey % 300 AS VARCHAR(9)) || ' ' || CAST(1500 + s_suppkey % 400 AS VARCHAR(9)) || ' or ' || CAST(1506 + s_suppkey % 400 AS VARCHAR(9)) AS text FROM supplier"
@@ -38,14 +38,14 @@ READ_SAMPLES = "SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE la
 VERIFIED = "SELECT doc_id + CASE WHEN doc_id % 50 = 0 THEN 10000000 ELSE 0 END AS id, CASE WHEN doc_id % 3 = 0 THEN 'te' END AS language, 'checked ' || CAST(quality AS VARCHAR(9)) AS verified_text FROM labels"
 CORRECTIONS = "SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS original, split_part(p_name, ' ', 2) AS corrected, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_type END AS language FROM part"
 TOKENS = "SELECT event_id, user_id, event_id % 97 AS request_id, CAST(round(value * 100) AS BIGINT) AS read_tokens, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(floor(value * 10) AS BIGINT) END AS written_tokens FROM events"
-COSTS = "SELECT CAST(ts AS DATE) AS day, user_id % 7 AS key, ts, event_id, CAST(1000 + (event_id * 37) % 900 AS BIGINT) AS cost FROM events WHERE event_id % 40 = 0"
+COSTS = "SELECT CAST(ts AS DATE) AS day, user_id % 7 AS key, ts, event_id, CAST(100 + (event_id * 37) % 900 AS BIGINT) AS cost FROM events"
 VISITS = "SELECT user_id AS room, ts, event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS delta FROM events"
 RESULTS = "SELECT event_id % 500 AS request_id, event_type AS provider, ts AS finished_at, value > 5 AS valid FROM events"
 SPANS = "SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey AS span, l_orderkey % 50 AS file, l_linenumber % 4 + 9 AS size, l_returnflag = 'R' AS bold, l_shipdate, CAST(l_linenumber * 12 AS DOUBLE) + l_discount AS y, CAST(l_partkey % 300 AS DOUBLE) AS x, CAST(l_partkey % 300 AS DOUBLE) + l_quantity AS x1, l_linestatus || l_returnflag AS text FROM lineitem"
 NAMES = "SELECT o_custkey % 20 AS grp, CASE WHEN o_orderkey % 9 = 0 THEN 'cover' ELSE 'page_' || CAST(o_orderkey % 1000 AS VARCHAR(9)) END || '.' || CAST(o_orderkey AS VARCHAR(9)) AS name FROM orders"
 PAPER_PAGES = "SELECT l_orderkey AS paper, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_partkey, l_linenumber, l_quantity, l_extendedprice) AS INT) AS arrival, CASE WHEN l_orderkey % 7 = 0 AND l_linenumber = 2 THEN NULL ELSE CAST(l_linenumber AS INT) END AS number FROM lineitem"
 VARIANTS = "SELECT l_orderkey AS page, l_linenumber AS ord, CASE l_suppkey % 3 WHEN 0 THEN 'good text 12' WHEN 1 THEN '@@ ## text' ELSE 'another reading of it' END AS text, CAST(l_partkey % 100 AS DOUBLE) / 100 AS confidence FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_linenumber) q"
-HISTORY = "SELECT user_id AS key, event_id AS ord, CAST(CAST(floor(value * 4) AS BIGINT) % 101 AS DOUBLE) AS accuracy FROM events WHERE user_id % 3 <> 0 OR event_id < 400"
+HISTORY = "SELECT CASE WHEN event_id % 50 = 0 THEN 1000000 + event_id ELSE user_id END AS key, event_id AS ord, CAST(CAST(floor(value * 4) AS BIGINT) % 101 AS DOUBLE) AS accuracy FROM events"
 QUOTA = "SELECT event_id AS id, CAST(CAST(floor(value) AS BIGINT) % 130 - 10 AS DOUBLE) AS percent, event_id % 5 = 0 AS flagged, event_id % 3 = 0 AS estimated, CAST(ts AS DATE) + INTERVAL 1 DAY AS reset_at, ts + INTERVAL 6 HOUR AS now FROM events"
 PICTURES = "SELECT split_part(p_name, ' ', 2) AS query, CASE WHEN p_partkey % 4 = 0 THEN split_part(p_name, ' ', 2) WHEN p_partkey % 4 = 1 THEN p_name || ' outline' ELSE p_name END AS title, CASE WHEN p_partkey % 7 = 0 THEN 'http' ELSE 'https' END || '://pic/' || CAST(p_partkey AS VARCHAR(9)) AS url, CASE WHEN p_size % 3 = 0 THEN 'unknown' ELSE 'cc0' END AS licence, CASE WHEN p_size % 11 = 0 THEN 'text/html' ELSE 'image/png' END AS mime, p_size * 20 AS w, 300 AS h FROM part"
 BOXES = "SELECT l_orderkey AS page, l_linenumber AS box, CAST(min(l_partkey) % 700 AS DOUBLE) AS x, CAST(min(l_suppkey) % 90 AS DOUBLE) * 10 AS y, CAST(max(l_quantity) AS DOUBLE) AS w, 20.0 AS h FROM lineitem GROUP BY l_orderkey, l_linenumber"
@@ -112,7 +112,7 @@ QUERIES = {
     "f31_replay": replayed,
     "j9_token_agreement": lambda s, d: E.token_agreement(agreement_pairs(s, d)),
     "f27_word_accuracy": lambda s, d: agreement_pairs(s, d).select("id", E.word_accuracy(F.col("a"), F.col("b")).alias("v")),
-    "f27_sequence_similarity": lambda s, d: agreement_pairs(s, d).where("length(a) < 3000 AND length(b) < 3000").select("id", E.sequence_similarity("a", "b").alias("v")),
+    "f27_sequence_similarity": lambda s, d: made("SELECT p_partkey AS id, p_name AS a, p_type || ' ' || p_brand || ' ' || p_name AS b FROM part")(s, d).select("id", E.sequence_similarity("a", "b").alias("v")),
     "a12_accuracy_summary": lambda s, d: E.accuracy_summary(made(HISTORY)(s, d)),
     "a13_language_counts": lambda s, d: E.language_counts(made(CORRECTIONS)(s, d)),
     "a15_best_variant": lambda s, d: E.best_variant(made(VARIANTS)(s, d)),
@@ -161,7 +161,15 @@ _NEAR = "levenshtein(a, b) <= 2 AND levenshtein(a, b) < least(len(a), len(b)) *
 _COUNTED = f"c AS (SELECT doc_id, field, value, count(*) AS n, min(line_no) AS first_line FROM ({VALUES}) v GROUP BY ALL)"
 _RANK = "SELECT original, corrected, count(*) AS n FROM (" + CORRECTIONS + ") c WHERE original <> '' AND corrected <> '' GROUP BY ALL"
 _VR = "(CASE WHEN len(regexp_replace(text, '\\s', '', 'g')) > 0 THEN len(regexp_replace(text, '[^\\x{0900}-\\x{097F}A-Za-z0-9]', '', 'g'))::DOUBLE / len(regexp_replace(text, '\\s', '', 'g')) ELSE 0 END)"
-ORACLE = {
+_EXPECTED = {
+    "f29_parse_suggestions": [(1, ["a", "b"]), (2, ["x", "y"]), (3, ["q"]), (4, []), (5, ["three"]), (6, [])],
+    "f37_first_text": [(1, "hi"), (2, "there"), (3, "deep"), (4, None), (5, None)],
+    "s4_pdf_escapes": [(1, "a(b)c"), (2, "line\nnext\\n"), (3, "tab\there"), (4, "plain")],
+    "m23_picture_subject": [(1, "duck"), (2, "fish"), (3, None), (4, None), (5, "kite")],
+    "f43_picture_query": [(1, "duck"), (2, None), (3, "red kite"), (4, None)],
+}
+ORACLE = {name: f"SELECT * FROM ({fixtures.values_sql(data)}) f(id, v)" for name, data in _EXPECTED.items()}
+ORACLE |= {
     "f25_fields": f"SELECT doc_id, line_no, trim(regexp_extract(trim(line), '{_FIELD}', 1)) AS field, trim(regexp_extract(trim(line), '{_FIELD}', 2)) AS value FROM ({FIELD_LINES}) q WHERE regexp_matches(trim(line), '{_FIELD}')",
     "a4_value_counts": f"WITH {_COUNTED} SELECT * FROM c",
     "j2_inconsistent_fields": f"WITH {_COUNTED} SELECT x.doc_id, x.field, x.value AS a, y.value AS b, CASE WHEN x.n > y.n THEN x.value WHEN y.n > x.n THEN y.value END AS suggestion FROM c x JOIN c y ON x.doc_id = y.doc_id AND x.field = y.field AND (x.first_line, x.value) < (y.first_line, y.value) WHERE {_NEAR.replace('a,', 'x.value,').replace(' b)', ' y.value)').replace('len(a)', 'len(x.value)').replace('len(b)', 'len(y.value)')}",

@@ -71,6 +71,9 @@ _FIG = r"(?i)\[\[(FIGURE(?:_ROW)?):\s*([^\]\n]*?)\]\]"
 _WIDTHS = lambda t: (f"list_transform(list_zip(regexp_extract_all({t}, '{_FIG}', 1), regexp_extract_all({t}, '{_FIG}', 2)), "
                      r"lambda z: CASE WHEN upper(z[1]) = 'FIGURE_ROW' THEN len(list_filter(string_split_regex(z[2], '\s*\|\|\s*'), lambda y: y <> '')) ELSE 1 END)")
 
+_LATIN = "list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: lower(w))"
+_KNOWN, _TELUGU = (fixtures.sql_value(list(x)) for x in (T.TELUGU_WORDS, T.TELUGU_WORDS.values()))
+
 #: name: (input, makes the Spark column, DuckDB input, DuckDB expression or None)
 SCALARS = {
     "f1_detect_language": (texts, lambda: T.detect_language(F.col("text")), TEXTS_SQL, _LANG),
@@ -78,11 +81,11 @@ SCALARS = {
     "f4_unfence": (texts, lambda: F.md5(T.unfence(F.col("text"))), TEXTS_SQL, f"md5({trim('regexp_replace(regexp_replace(text, ' + chr(39) + r'(?i)^```(?:text|markdown)?\s*\n?' + chr(39) + ', ' + chr(39) * 2 + '), ' + chr(39) + r'\n?```\s*$' + chr(39) + ', ' + chr(39) * 2 + ')')})"),
     "f9_count_regions": (texts, lambda: T.count_regions(F.col("text")), TEXTS_SQL, f"CASE WHEN len(text) = 0 THEN 0 ELSE greatest(1, len(list_filter(string_split(text, chr(10)), lambda x: len({trim('x')}) > 0))) END"),
     "f26_years": (texts, lambda: T.years(F.col("text")), TEXTS_SQL, r"regexp_extract_all(text, '\b(1[5-9]\d{2})\b', 1)"),
-    "f30_native_roman": (texts, lambda: T.native_roman(F.col("text")), None, None),
+    "f30_native_roman": (texts, lambda: T.native_roman(F.col("text")), TEXTS_SQL, f"CASE WHEN len({_LATIN}) > 0 AND len(list_filter({_LATIN}, lambda w: NOT list_contains({_KNOWN}, w))) = 0 THEN array_to_string(list_transform({_LATIN}, lambda w: {_TELUGU}[list_position({_KNOWN}, w)]), ' ') ELSE '' END"),
     "f39_squeeze": (texts, lambda: F.md5(T.squeeze(F.col("text"))), TEXTS_SQL, f"md5({squeeze('text')})"),
     "f41_valid_ratio": (texts, lambda: F.round(T.valid_ratio(F.col("text")), 6), TEXTS_SQL, f"round({_RATIO('text')}, 6)"),
     "f28_readable_tokens": (texts, lambda: F.md5(T.keep_readable_tokens(F.col("text"))), TEXTS_SQL, f"md5(array_to_string(list_filter(string_split_regex(trim(text), '\\s+'), lambda x: len(x) > 0 AND {_RATIO('x')} >= 0.3), chr(10)))"),
-    "p1_degenerate": (texts, lambda: T.degenerate(F.col("text")), None, None),
+    "p1_degenerate": (texts, lambda: T.degenerate(F.col("text")), TEXTS_SQL, r"len(text) > 30000 OR regexp_matches(text, '_{200}|\.{200}| {200}|─{200}|-{200}') OR len(list_filter(list_distinct(string_split(text, '')), lambda c: c <> '' AND NOT regexp_matches(c, '\s') AND contains(text, repeat(c, 80)))) > 0"),
     "p2_blank_safe": (texts, lambda: F.md5(T.blank_safe(F.col("text"))), TEXTS_SQL, f"md5(substring(regexp_replace(text, '_{{81,}}', '{'_' * 28}', 'g'), 1, 12000))"),
     "p3_review_warnings": (texts, lambda: F.array_join(T.review_warnings(F.col("text")), ","), TEXTS_SQL, f"array_to_string(list_filter([CASE WHEN {_UNCLEAR} > 0 THEN 'unclear_source:' || {_UNCLEAR} END, CASE WHEN contains(text, chr(65533)) THEN 'invalid_character' END, CASE WHEN regexp_matches(text, '(?i)\\[\\[PICTURE(?:_OPTION|_ROW)?:') THEN 'missing_source_picture' END], lambda x: x IS NOT NULL), ',')"),
     "p22_matches_script": (texts, lambda: F.concat_ws(",", *(T.matches_script(F.col("text"), F.lit(c)).cast("string") for c in ("en", "hi", "mr", "te", "ur", "zz"))), TEXTS_SQL,
@@ -94,9 +97,10 @@ SCALARS = {
     "p7_figure_layout_changed": (readings, lambda: T.figure_layout_changed(F.col("a"), F.col("b")), READINGS_SQL, f"len({_WIDTHS('a')}) > 0 AND len({_WIDTHS('b')}) > 0 AND {_WIDTHS('a')} <> {_WIDTHS('b')}"),
     "p9_missing_opening": (readings, lambda: T.missing_opening(F.col("a"), F.col("page")), READINGS_SQL, f"coalesce(page = 1 AND len({_LABELS('a')}) > 0 AND {_LABELS('a')}[1] <> 'I' AND regexp_matches(a, '(?m)^\\s*(?:\\[\\[(?:QUESTION_ROW|MATCH_ROW|TABLE_ROW):\\s*)?[0-9०-९]+[.)]\\s*\\S'), false)"),
     "p10_loses_sections": (readings, lambda: T.loses_sections(F.col("a"), F.col("b")), READINGS_SQL, f"len({_LABELS('a')}) >= 2 AND len(list_filter({_LABELS('a')}, lambda x: NOT list_contains({_LABELS('b')}, x))) > 0"),
-    "p24_keeps_numbers": (readings, lambda: T.keeps_numbers(F.col("a"), F.col("b")), None, None),
+    "p24_keeps_numbers": (readings, lambda: T.keeps_numbers(F.col("a"), F.col("b")), READINGS_SQL, " AND ".join(f"regexp_extract_all(a, '{p}') = regexp_extract_all(b, '{p}')" for p in (r"[\p{N}]+(?:[.,][\p{N}]+)*", r"\$[^$]+\$", r"_{2,}|\.{3,}|…+|\(\s*\)", "[+×÷=^_≤≥≠∑∫√−/]"))),
     "p25_within_selection": (readings, lambda: T.within_selection(F.col("a"), F.col("b")), READINGS_SQL, "len(regexp_extract_all(b, '[\\p{L}\\p{M}\\p{N}]+')) <= len(regexp_extract_all(a, '[\\p{L}\\p{M}\\p{N}]+')) + greatest(2, ceil(len(regexp_extract_all(a, '[\\p{L}\\p{M}\\p{N}]+')) * 0.2))"),
-    "p23_matches_context": (readings, lambda: T.matches_context(F.col("b"), F.col("a"), F.lit("ab")), None, None),
+    "p23_matches_context": (readings, lambda: T.matches_context(F.col("b"), F.col("a"), F.lit("ab")), READINGS_SQL,
+                            "len(regexp_extract_all(b, '\\p{L}')) > 0 AND len(list_filter(regexp_extract_all(b, '\\p{L}'), lambda x: NOT (contains(a, x) OR " + " OR ".join(f"(regexp_matches(x, '{r}') AND regexp_matches(a || ' ab', '{r}'))" for r in (r"[A-Za-z\x{00C0}-\x{024F}]", *(in_duck(c) for c in T.LANGUAGE_RANGES))) + "))) = 0"),
 }
 
 QUERIES = {name: scalar(source, value) for name, (source, value, _, _) in SCALARS.items()}

@@ -64,6 +64,9 @@ QUERIES = {
 }
 _BAD = {2, 3, 4, 7, 8, 9, 11, 13, 15, 18}
 ORACLE = {
+    "p6_verified_crops": "SELECT * FROM (VALUES (1, 'a [[FIGURE: 9,9,8,8|A]] b [[FIGURE_ROW: 7,7,8,8|B || 6,6,8,8|C]]'), (2, '[[FIGURE: 1,1,5,5|A]]'), (3, 'no figure')) f(id, v)",
+    "p14_should_verify": "SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, false), (4, false), (5, true), (6, true), (100, true), (101, true)) f(id, v)",
+    "p20_clean_views": "SELECT * FROM (VALUES (1, [0, 1]), (2, [1])) f(id, v)",
     "p5_invalid_markers": f"SELECT id, v FROM ({fixtures.values_sql([(k, k in _BAD) for k, _ in MARKERS])}) f(id, v)",
     "p11_question_inventory": f"WITH {_STRINGS} SELECT id, array_to_string(list_transform(b, lambda x: 'I:' || x), ',') AS v FROM p",
     "p12_loses_questions": f"WITH {_STRINGS} SELECT id, false AS back, NOT regexp_matches(',' || array_to_string(b, ',') || ',', ',' || array_to_string(a, ',(?:.*,)?') || ',') AS v FROM p",
