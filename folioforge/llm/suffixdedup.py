@@ -303,25 +303,29 @@ class Batch:
         return np.cumsum(edge)[:-1] > 0
 
 
+def table_name() -> str:
+    return f"folioforge_batches_{uuid.uuid4().hex}"
+
+
 def run_rows(batch: int, keys: np.ndarray, extra: np.ndarray | None, ranges: int) -> pa.Table:
     rows = [(p, batch, keys[a:b].tobytes(), extra[a:b].tobytes() if extra is not None else b"") for p, (a, b) in enumerate(ranged(keys, ranges)) if b > a]
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["part", "batch", "keys", "extra"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, name: str | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (array of start and end, the maximal removed runs) and kept (the bytes left).
 
     A byte goes if a SPAN-byte string that covers it also starts in a document with a smaller doc_id, judged on the input. Null
     text counts as empty; a null doc_id as the largest id, returned as null. Rows that share an id don't remove
     from each other. Columns other than doc_id and text are not looked at; an empty table gives no rows. The
-    batches' table stays in the warehouse for what is computed from the result later.
+    batches' table (name, or one of its own) stays in the warehouse for what is computed from the result later.
     """
     spark = docs.sparkSession
     base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("_text"))
     total = base.agg(F.sum(F.octet_length("_text")).alias("b")).first().b or 0
     batches, ranges = max(1, -(-total // BATCH_BYTES)), max(1, -(-total // (2 * RANGE_BYTES)))
-    name = f"folioforge_batches_{uuid.uuid4().hex}"
+    name = name or table_name()
     (base.repartitionByRange(batches, "did").withColumn("batch", F.spark_partition_id())
      .write.bucketBy(batches, "batch").sortBy("batch").format("parquet").saveAsTable(name))
     table = spark.table(name)
@@ -366,8 +370,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return remove_repeats(read(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    name = table_name()
+    found = stage(remove_repeats(read(spark, sf_dir, "documents"), name).select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")), "removed")
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 QUERIES = {"op5_suffix_array_dedup": op5_suffix_array_dedup}
