@@ -208,7 +208,10 @@ def nearest(table: DataFrame, k: int = NEAREST, every: int = 100, ratio: float |
 
     found = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInPandas(meet, "query_id long, vec_id long, score double")
     # Copies of a vector in several lists are one candidate; of one list's vectors only the best k were returned.
-    best = found.distinct().groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("near"))
+    # In two steps, so that what very many blocks found for a query is cut down on the way.
+    first = lambda df, *keys: df.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_set(F.struct("score", "vec_id"))), 1, k).alias("near"))
+    some = first(found.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))), "query_id", "salt")
+    best = first(some.select("query_id", F.explode("near").alias("n")).select("query_id", "n.*"), "query_id")
     return best.select("query_id", F.posexplode("near").alias("pos", "n")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("n.vec_id").alias("vec_id"), F.col("n.score").alias("score"))
 
 
