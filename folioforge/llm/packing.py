@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import discard, shuffle_width, stage, text_column
+from folioforge.llm.common import stage, text_column
 
 CAPACITY = 1024
 END_ID = 2
@@ -73,7 +73,7 @@ def ranked(pieces: DataFrame) -> DataFrame:
     spark = pieces.sparkSession
     order = ["length", "doc_id", "piece", "ids_crc32"]
     placed = stage(
-        pieces.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
+        pieces.repartitionByRange(*order).sortWithinPartitions(*order)  # as many tasks as the bytes ask for
         .withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "ranked")
     runs = placed.groupBy("part", "length").agg(F.count("*").alias("n"), F.min("at").alias("first")).collect()
     before: dict[int, int] = {}
@@ -131,7 +131,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     (doc_id, piece), so the result does not depend on partitioning; repeated rows are packed each on its own.
     """
     spark = pieces.sparkSession
-    rows = stage(ranked(pieces), "pieces")
+    rows = ranked(pieces)
     items = {r.length: [0, r.n] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     sequences = 0
     gaps: dict[int, int] = {}
@@ -156,11 +156,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 .select("doc_id", "piece", "length", "rank", F.col("gap").alias("free"), (F.col("gap0") + F.col("rank") - F.col("rank0")).alias("gap_rank"),
                         "left", (F.col("left0") + F.col("rank") - F.col("rank0")).alias("left_rank"))
             )
-            hit = stage(won.join(bins.withColumnRenamed("rank", "gap_rank"), ["free", "gap_rank"]), "hits")
-            placed.append(hit.select("length", "rank", "seq", (F.lit(capacity) - F.col("free")).alias("offset")))
-            rest = bins.join(F.broadcast(spark.createDataFrame(keep, "free long, used long, base long")), "free").where("rank >= used")
-            bins = hit.select("seq", F.col("left").alias("free"), F.col("left_rank").alias("rank")).unionAll(
-                rest.select("seq", "free", (F.col("rank") - F.col("used") + F.col("base")).alias("rank")))
+            hit = won.join(bins.withColumnRenamed("rank", "gap_rank"), ["free", "gap_rank"]).select("length", "rank", "seq", "free", "left", "left_rank")
+            rest = bins.join(F.broadcast(spark.createDataFrame(keep, "free long, used long, base long")), "free").where("rank >= used").select(
+                F.lit(None).cast("long").alias("length"), F.lit(None).cast("long").alias("rank"), "seq", F.lit(None).cast("long").alias("free"), F.col("free").alias("left"), (F.col("rank") - F.col("used") + F.col("base")).alias("left_rank"))
+            # One table a round: the pieces placed in it, and all gaps after it.
+            state = stage(hit.unionAll(rest), "round")
+            placed.append(state.where("length IS NOT NULL").select("length", "rank", "seq", (F.lit(capacity) - F.col("free")).alias("offset")))
+            bins = state.where("left > 0").select("seq", F.col("left").alias("free"), F.col("left_rank").alias("rank"))
             gaps = {g: n for g in {*gaps, *left} if g and (n := gaps.get(g, 0) - taken.get(g, 0) + left.get(g, 0))}
         top = max(gaps, default=0)
         unfit = {k: hi - lo for k, (lo, hi) in items.items() if k > top and lo < hi}
@@ -183,10 +185,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                         "left", (F.col("left0") + F.col("rank") - F.col("rank0")).alias("left_rank"))
             )
             placed.append(seeds.select("length", "rank", "seq", "offset"))
-            fresh = seeds.select("seq", F.col("left").alias("free"), F.col("left_rank").alias("rank"))
+            fresh = seeds.where("left > 0").select("seq", F.col("left").alias("free"), F.col("left_rank").alias("rank"))
             bins = fresh if bins is None else bins.unionAll(fresh)
             gaps.pop(0, None)
-        bins = stage(bins.where("free > 0"), "bins")
     if not placed:
         return rows.drop("rank").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     found = placed[0]
