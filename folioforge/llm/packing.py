@@ -124,6 +124,11 @@ def sweep(items: dict[int, list[int]], gaps: dict[int, int]) -> list[tuple[int,
 RUNS = "length long, rank0 long, n long, gap long, gap0 long, left long, left0 long"
 
 
+def between(rows: DataFrame, runs: list[tuple]) -> DataFrame:
+    """Length and rank of the pieces whose lengths the runs span; the files are in order of length, so the scan skips the rest."""
+    return rows.where(F.col("length").between(min(r[0] for r in runs), max(r[0] for r in runs))).select("length", "rank")
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...).
 
@@ -152,8 +157,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             keep = [(g, taken.get(g, 0), left.get(g, 0)) for g in gaps]
             small = F.broadcast(spark.createDataFrame(table, RUNS))
             won = (
-                rows.select("doc_id", "piece", "length", "rank").join(small, "length").where("rank >= rank0 AND rank < rank0 + n")
-                .select("doc_id", "piece", "length", "rank", F.col("gap").alias("free"), (F.col("gap0") + F.col("rank") - F.col("rank0")).alias("gap_rank"),
+                between(rows, table).join(small, "length").where("rank >= rank0 AND rank < rank0 + n")
+                .select("length", "rank", F.col("gap").alias("free"), (F.col("gap0") + F.col("rank") - F.col("rank0")).alias("gap_rank"),
                         "left", (F.col("left0") + F.col("rank") - F.col("rank0")).alias("left_rank"))
             )
             hit = won.join(bins.withColumnRenamed("rank", "gap_rank"), ["free", "gap_rank"]).select("length", "rank", "seq", "free", "left", "left_rank")
@@ -180,7 +185,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                     n -= m
             small = F.broadcast(spark.createDataFrame(table, RUNS))
             seeds = (
-                rows.select("length", "rank").join(small, "length").where("rank >= rank0 AND rank < rank0 + n")
+                between(rows, table).join(small, "length").where("rank >= rank0 AND rank < rank0 + n")
                 .select("length", "rank", (F.col("gap0") + F.col("rank") - F.col("rank0")).alias("seq"), F.lit(0).cast("long").alias("offset"),
                         "left", (F.col("left0") + F.col("rank") - F.col("rank0")).alias("left_rank"))
             )
