@@ -126,6 +126,7 @@ def blank_safe(text: Column) -> Column:
     return F.substring(F.regexp_replace(F.coalesce(text, F.lit("")), "_{81,}", "_" * 28), 1, 12000)
 
 
+#: The pattern of a mark of doubt.
 UNCLEAR = r"(?i)\[unclear(?::[^\]\n]*)?\]"
 
 
@@ -150,6 +151,7 @@ def loses_script(first: Column, second: Column) -> Column:
     return out
 
 
+#: The pattern of a section heading with its label.
 SECTION_LABEL = r"(?m)^\s*(?:\[\[SECTION_ROW:\s*)?([IVXLCDM]+)[.)]?\s+[^\n]+"
 
 
@@ -170,6 +172,7 @@ def missing_opening(text: Column, page: Column) -> Column:
     return F.coalesce((page == 1) & (F.size(labels) > 0) & (F.get(labels, F.lit(0)) != "I") & numbered, F.lit(False))
 
 
+#: The pattern of figures, alone or in a row.
 FIGURES = r"(?i)\[\[(FIGURE(?:_ROW)?):\s*([^\]\n]*?)\]\]"
 
 
@@ -192,6 +195,7 @@ def section_ordinal(label: Column) -> Column:
     return F.create_map(*pairs)[F.upper(label)]
 
 
+#: The pattern of an equation of marks.
 MARKS = r"\(?\s*(\d+)\s*[xX×*]\s*(\d+)\s*(?:/\s*(\d+)\s*)?(?:=\s*(\d+)\s*)?\)?"
 
 

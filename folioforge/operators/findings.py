@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 
+#: The pattern of a field and its value.
 FIELD = r"^([A-Za-z\x{0900}-\x{097F}\x{0C00}-\x{0C7F}\s./#()-]{1,30}?)\s*[:\-]\s*(.+)$"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 
+#: Patterns of headings, rows, labels and scores.
 HEADING = r"(?i)^\s*(?:\[\[SECTION_ROW:\s*)?([IVX]{1,6})[.)]\s+\S"
 ROW_OPEN = r"(?i)^\s*\[\[(?:QUESTION_ROW|MATCH_ROW|TABLE_ROW|CHOICE_ROW|OPTION_ROW):\s*"
 LABEL = r"(?:^|\|\|)\s*([0-9०-९౦-౯௦-௯]+)[.)।]\s*\S"
@@ -94,6 +95,7 @@ KINDS = (
     "COUNT_OBJECTS ABACUS SECTION_ROW QUESTION_ROW ARITHMETIC_ROW MATCH_ROW TABLE_ROW GRID_ROW FIGURE_ROW FIGURE SHAPE_ROW GRID ANSWER_LINES CHOICE_ROW OPTION_ROW "
     "BANNER FOOTER SOURCE_PAGE TABLE_WIDTHS TABLE_HEADER TABLE_REGION BRANCH_ROOT BRANCH_ITEM DOUBLE-STRIKE DOUBLE-UNDERLINE STRIKE INSERT REPLACE CIRCLED UNDERLINE BOXED "
     "HIGHLIGHT MARGIN STAMP SIGNATURE PICTURE PICTURE_OPTION PICTURE_ROW").split()
+#: The pattern of rows inside rows.
 _NESTED = r"(?i)\[\[(?:TABLE_ROW|GRID_ROW|MATCH_ROW|ARITHMETIC_ROW):[^\n]*\[\[(?:TABLE_ROW|GRID_ROW|FIGURE_ROW|MATCH_ROW|ARITHMETIC_ROW|GRID):"
 
 
@@ -156,6 +158,7 @@ def verified_crops(first: Column, second: Column) -> Column:
     return F.when(same, F.concat(folded["done"], folded["rest"])).otherwise(first)
 
 
+#: Patterns of editing marks and of an empty reading.
 EDITS = r"\[\[(?:DOUBLE-STRIKE|DOUBLE-UNDERLINE|STRIKE|INSERT|REPLACE|CIRCLED|UNDERLINE|BOXED|HIGHLIGHT|MARGIN|STAMP|SIGNATURE|PICTURE|PICTURE_OPTION|OPTION_ROW|MATCH_ROW):"
 NOTHING = r"(?i)^no\s+(?:readable\s+)?text\s+detected[.!]?$"
 

@@ -16,6 +16,7 @@ from folioforge.operators.lines import UP_TO_HERE, by_line, with_section
 ASKS_BLANK = r"(?iu)खाली स्थान|रिक्त स्थान|ఖాళీ|கோடிட்ட|ಖಾಲಿ|ഒഴിഞ്ഞ|শূন্যস্থান|ਖਾਲੀ|خالی|\bfill\b[^\n]{0,90}\bblanks?\b|\bquestion\s+tags?\b"
 ASKS_TRUTH = r"(?iu)\b(?:true\s*(?:or|/|and)?\s*false|yes\s*(?:or|/|and)?\s*no)\b|सही.*गलत|हाँ.*नहीं|అవును.*కాదు|ஆம்.*இல்லை|ಹೌದು.*ಇಲ್ಲ|അതെ.*അല്ല|হ্যাঁ.*না|ہاں.*نہیں"
 ASKS_CHOICE = r"(?iu)\b(?:choose|tick|select)\b[^\n]{0,90}\b(?:correct|right|answer|option)\b|సరైన.*ఎంచుకో|சரியான.*தேர்ந்தெடு|ಸರಿಯಾದ.*ಆಯ್ಕೆ"
+#: Patterns of places for a response, numbered items and headings.
 RESPONSE = r"(?:_{2,}|\.{3,}|…|[─━—]{2,}|\(\s*\)|\[\s*\]|□|☐|\[\[(?:ANSWER_LINES|GRID|GRID_ROW|CHECKBOX|BOXED):?)"
 NUMBERED = r"^\s*(?:\[\[(?:QUESTION_ROW|MATCH_ROW|TABLE_ROW):\s*)?\p{Nd}+[.)।]\s*\S"
 HEAD = r"(?i)^\s*(?:\[\[SECTION_ROW:\s*[^\n]*?(?:\|\||\]\])|[IVXLCDM]+[.)]\s+.+)"

@@ -23,6 +23,7 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\r?\n", -1)).alias("line_no", "line"))
 
 
+#: Patterns of section headings.
 SECTION_ROW = r"(?i)^\s*\[\[SECTION_ROW:\s*([^|\]]+?)(?:\s*\|\|[^\]]*)?\]\]\s*$"
 SECTION_PLAIN = r"(?i)^\s*([IVX]{1,6})[.)]?\s+([^\n]{3,140})$"
 
@@ -45,6 +46,7 @@ def section_evidence(rows: DataFrame) -> DataFrame:
         F.min("line_no").alias("first_line"), F.least(F.lit(100), F.sum("n")).cast("int").alias("images"), F.max("w").alias("widest"))
 
 
+#: Kinds that a layout proposal may name.
 LAYOUT_KINDS = ["pictures", "matching", "mcq", "true_false", "fill_blanks", "translation", "written", "table", "other"]
 
 
@@ -111,6 +113,7 @@ def supported_issues(issues: DataFrame, docs: DataFrame, most: int = 10) -> Data
     return kept.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).select("doc_id", "ord", "category", "evidence")
 
 
+#: Patterns of the line kinds.
 BLOCKS = {
     "pagebreak": r"(?i)^\[\[PAGEBREAK\]\]$", "picture": r"(?i)^\[\[PICTURE(?:_OPTION)?:\s*(.*?)\]\]$", "checkboxes": r"(?i)^\[\[CHECKBOX\]\]$",
     "option_row": r"(?i)^\[\[OPTION_ROW:\s*(.*?)\]\]$", "match_table": r"(?i)^\[\[MATCH_ROW:\s*(.*?)\s*\|\|\s*(.*?)\]\]$",
