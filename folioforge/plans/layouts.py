@@ -9,8 +9,9 @@ from folioforge.functions import text as T
 from folioforge.operators import layout as P
 from folioforge.operators import lines as L
 from folioforge.operators import markers as M
+from folioforge.operators import regions as R
 from folioforge.plans import fixtures
-from folioforge.plans.papers import LINES_SQL, paper_lines
+from folioforge.plans.papers import LINES_SQL, paper_docs, paper_lines
 from folioforge.plans.records import made
 
 RESPONSES = [
@@ -20,6 +21,8 @@ RESPONSES = [
 IDENTITIES = [(1, "Class: 5\nSubject: Maths"), (2, "कक्षा: ३ | विषय: हिन्दी"), (3, "nothing"), (4, "[[TABLE_ROW: Class: V || Sub: EVS]]")]
 HEADS = [(1, "I. Answer these 5x2=10 M"), (2, "[[SECTION_ROW: IV. Write || 3½M]]"), (3, "f(5)"), (4, "(2, 3)"), (5, "II) Read ५ अंक"), (6, "plain")]
 FORMATS = [(1, "I. Label the diagram\n1. a"), (2, "I. Write an essay"), (3, "I. Match\nII. Tick"), (4, "I. Answer\n1. draw a diagram"), (5, "")]
+BOUNDS = [(1, "0,0,500,500"), (2, "1,2,3"), (3, "900,0,200,1")]
+CANONICAL = [(1, "1. a || none"), (2, "1. a || 3M"), (3, "a || b")]
 LAYERS = [(1, "fine text"), (2, "bad "), (3, "x �"), (4, "कि ठीक"), (5, " ि्")]
 ENGINES = "SELECT l_orderkey * 10 + l_linenumber AS line, l_suppkey % 5 * 1000000 + l_partkey AS engine, CASE l_suppkey % 3 WHEN 0 THEN 'Same  text' WHEN 1 THEN 'same text' ELSE 'other' END AS text, CAST(l_partkey % 100 AS DOUBLE) / 100 AS confidence FROM lineitem"
 PAGES = "SELECT user_id AS job, event_id AS page, CAST(event_id % 100 AS DOUBLE) / 100 AS confidence FROM events"
@@ -64,9 +67,30 @@ QUERIES = {
     "f19_field_labels": rows(IDENTITIES, lambda: F.array_join(F.array_compact(F.array(*(F.when(F.col("text").rlike("(?iu)" + p), F.lit(k)) for k, p in M.FIELDS.items()))), ",")),
     "f42_styled_runs": rows([(1, "a [[UNDERLINE: b]] c [[CIRCLED: d]]"), (2, "plain")], lambda: M.over_texts(lambda t: repr(M.styled_runs(t)))("text")),
     "f44_image_measures": rasters,
+    "f23_regions": lambda s, d: R.regions(paper_lines(s, d)),
+    "m3_exam_content": lambda s, d: paper_docs(s, d).select("doc_id", F.md5(M.over_texts(R.exam_content)("text")).alias("v")),
+    "m13_laid_out": lambda s, d: paper_docs(s, d).select("doc_id", F.md5(M.over_texts(R.laid_out)("text")).alias("v")),
+    "m16_scaled_bounds": rows(BOUNDS, lambda: F.to_json(R.scaled_bounds(F.col("text"), 200, 100))),
+    "f7_branches": rows([(1, "[[BRANCH_ROOT: R]]\n[[BRANCH_ITEM: a || x]]\n[[BRANCH_ITEM: b || ]]\n[[BRANCH_END]]\nz")], lambda: M.over_texts(M.branches)("text")),
+    "f11_canonical_rows": rows(CANONICAL, lambda: M.over_texts(lambda t: M.canonical_row("QUESTION_ROW", t))("text")),
+    "f13_pipe_tables": rows([(1, "| a | b |\n|---|---|\n| 1 | 2 |"), (2, "| | |\n| | |")], lambda: M.over_texts(M.pipe_tables)("text")),
+    "f14_native_rows": rows([(1, "Class: 5 || Subject: Maths\n1. a ____ || 2. b ( )")], lambda: M.over_texts(M.native_rows)("text")),
+    "f15_writing_boxes": rows([(1, "Write the letters A to L"), (2, "Fill the letters A to L")], lambda: M.over_texts(M.writing_boxes)("text")),
+    "f16_closed_lines": rows([(1, "[TABLE_ROW: a || \n[[GRID: 2x2]]")], lambda: M.over_texts(M.closed_lines)("text")),
+    "f17_maths_rows": rows([(1, "1 | 2 | 3 | 4 | 5\nWrite numbers from 1 to 20")], lambda: M.over_texts(M.maths_rows)("text")),
+    "f12_markup": rows([(1, "<table><tr><td>a</td><th>b</th></tr></table>"), (2, "<table>x</table>")], lambda: M.over_texts(M.recognised_markup)("text")),
 }
 _EXPECTED = {
     "f19_field_labels": [(1, "class,subject"), (2, "class,subject"), (3, ""), (4, "class,subject")],
+    "f7_branches": [(1, "     ↗ a ───────── x\n○ R → b\nz")],
+    "f11_canonical_rows": [(1, "1. a"), (2, "[[QUESTION_ROW: 1. a || 3M]]"), (3, "a b")],
+    "f13_pipe_tables": [(1, "[[TABLE_ROW: a || b]]\n[[TABLE_ROW: 1 || 2]]"), (2, "[[GRID: 2x2]]")],
+    "f14_native_rows": [(1, "[[TABLE_ROW: Class: 5 || Subject: Maths]]\n[[MATCH_ROW: 1. a ____ || 2. b ( )]]")],
+    "f15_writing_boxes": [(1, "Write the letters A to L\n[[GRID: 10x1]]\n[[GRID: 2x1]]"), (2, "Fill the letters A to L")],
+    "f16_closed_lines": [(1, "[[TABLE_ROW: a]]\n[[GRID: 2x2]]")],
+    "f17_maths_rows": [(1, "[[GRID_ROW: 1 || 2 || 3 || 4 || 5]]\nWrite numbers from 1 to 20\n[[GRID: 10x2]]")],
+    "f12_markup": [(1, "[[TABLE_ROW: a || b]]"), (2, "<table>x</table>")],
+    "m16_scaled_bounds": [(1, '{"x":0,"y":0,"w":100,"h":50}'), (2, None), (3, None)],
     "f42_styled_runs": [(1, "[('', 'a '), ('underline', 'b'), ('', ' c '), ('circled', 'd')]"), (2, "[('', 'plain')]")],
 }
 ORACLE = {name: f"SELECT * FROM ({fixtures.values_sql(data)}) f(id, v)" for name, data in _EXPECTED.items()}
