@@ -105,7 +105,8 @@ QUERIES = {
     "d9_collected": lambda s, d: md5_of(E.collected(made(READ_SAMPLES)(s, d)), "raw_ocr", "corrected_text"),
     "j5_upsert_verified": lambda s, d: md5_of(samples(s, d), "raw_ocr", "corrected_text"),
     "a1_sample_stats": lambda s, d: E.sample_stats(samples(s, d)),
-    "k1_export_samples": lambda s, d: E.export_samples(samples(s, d), "te", True, 100).select("id", F.md5("json").alias("json")),
+    "k1_export_samples": lambda s, d: E.export_samples(samples(s, d), "te", True, 100).select(
+        "id", *(F.get_json_object("json", f"$.{k}").alias(k) for k in ("target_text", "language", "verified", "weight"))),
     "a3_pair_counts": lambda s, d: E.pair_counts(made(CORRECTIONS)(s, d)),
     "o1_top_pairs": lambda s, d: E.ranked_pairs(E.pair_counts(made(CORRECTIONS)(s, d)), 20),
     "o2_ranked_pairs": lambda s, d: E.ranked_pairs(E.pair_counts(made(CORRECTIONS)(s, d))),
@@ -179,6 +180,7 @@ ORACLE |= {
     "d9_collected": f"SELECT id, coalesce(language, 'hi') AS language, md5(raw_ocr) AS raw_ocr, md5(raw_ocr) AS corrected_text, 'auto_collect' AS source, false AS verified, 0.5::DOUBLE AS weight FROM ({READ_SAMPLES}) q WHERE raw_ocr <> ''",
     "j5_upsert_verified": f"WITH {_SAMPLES} SELECT id, language, md5(raw_ocr) AS raw_ocr, md5(corrected_text) AS corrected_text, source, verified, weight FROM s",
     "a1_sample_stats": f"WITH {_SAMPLES} SELECT language, count(*) AS total, count_if(verified) AS verified, count(*) - count_if(verified) AS auto_collected FROM s GROUP BY ROLLUP (language)",
+    "k1_export_samples": f"WITH {_SAMPLES} SELECT id, corrected_text AS target_text, language, CAST(verified AS VARCHAR) AS verified, CAST(weight AS VARCHAR) AS weight FROM s WHERE language = 'te' AND verified ORDER BY id LIMIT 100",
     "a3_pair_counts": _RANK,
     "o1_top_pairs": f"SELECT * FROM ({_RANK}) q ORDER BY n DESC, original, corrected LIMIT 20",
     "o2_ranked_pairs": f"SELECT * FROM ({_RANK}) q ORDER BY n DESC, original, corrected",

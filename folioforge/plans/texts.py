@@ -37,7 +37,16 @@ QUERIES = {
     "k3_preview": lambda s, d: sinks.preview(paper_blocks(s, d)).select("doc_id", F.md5("preview").alias("v")),
     "t2_ledger": lambda s, d: usage.ledger_of(s.sql(LEDGER_EVENTS, events=table(s, d, "events"))),
 }
+_EVENTS = LEDGER_EVENTS.replace("{events}", "events")
+_STEP = """CASE WHEN op = 'add' AND amount > 0 THEN least(10000.0, {used} + amount) ELSE {used} END AS used,
+    CASE WHEN op = 'reserve' AND greatest({booked}, {used}) + greatest(1000, ceil(reserve)) <= 9500 THEN greatest({booked}, {used}) + greatest(1000, ceil(reserve))
+         WHEN op = 'settle' AND amount > 0 THEN greatest({used}, greatest({booked}, {used}) - greatest(1000, ceil(reserve)) + amount) ELSE greatest({booked}, {used}) END AS booked,
+    {requests} + CASE WHEN op = 'add' AND amount > 0 THEN 1 ELSE 0 END AS requests, CASE WHEN op = 'reserve' THEN greatest({booked}, {used}) + greatest(1000, ceil(reserve)) <= 9500 END AS allowed"""
 ORACLE = {
+    "t2_ledger": f"""WITH RECURSIVE e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, op, amount, reserve, row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) AS k FROM ({_EVENTS}) q),
+        r AS (SELECT day, k, event_id, {_STEP.format(used='0.0::DOUBLE', booked='0.0::DOUBLE', requests='0')} FROM e WHERE k = 1
+              UNION ALL SELECT e.day, e.k, e.event_id, {_STEP.format(used='r.used', booked='r.booked', requests='r.requests')} FROM r JOIN e ON e.day = r.day AND e.k = r.k + 1)
+        SELECT day, event_id, allowed, used, booked, CAST(requests AS BIGINT) AS requests, false AS exhausted FROM r""",
     "k2_word_round_trip": f"WITH {blocks_cte(LINES_SQL)} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS INT) AS ord, text FROM b WHERE kind <> 'pagebreak'",
     "f8_protect_restore": "SELECT doc_id, true AS v FROM documents",
 }
