@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,12 @@ def build_session(app: str = "folioforge", cores: int = 8, shuffle_partitions: i
     )
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the cluster's shared folder (spark.checkpoint.dir; one is chosen only where that is unset)."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    return f"{at.rstrip('/')}/folioforge-{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; zone-less timestamps become UTC timestamps."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
