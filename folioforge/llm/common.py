@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy works on at once; a longer document makes a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -25,6 +25,8 @@ SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words longer than this are relaxed one by one with a heap; characters indexed at once; words remembered by a task.
 LONG, INDEXED, REMEMBERED = 48, 600_000, 800_000
+#: Bytes of text encoded at once: fewer would search all pieces more often.
+AT_ONCE = 2 << 20
 _LOADED: dict = {}
 
 
@@ -281,7 +283,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             texts = text_column(batch)
             _, off = bytes_of(texts)
-            for a, b in row_blocks(off):
+            for a, b in row_blocks(off, AT_ONCE):
                 ids, o = encoder.encode(texts.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
 
@@ -312,7 +314,7 @@ def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             texts = text_column(batch)
             data, off = bytes_of(texts)
-            for a, b in row_blocks(off):
+            for a, b in row_blocks(off, AT_ONCE):
                 ids, o = encoder.encode(texts.slice(a, b - a).to_pylist())
                 rows = []
                 for k in range(b - a):
