@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from folioforge.llm.common import SpanHash, bytes_of, crc_of_id, labelled_sample, mix, read, row_blocks, word_spans
+from folioforge.llm.common import SpanHash, bytes_of, crc_of_id, labelled_sample, mix, read, row_blocks, stage, word_spans
 
 #: At most so many labelled rows are fitted on, and so many lexicon entries kept.
 SAMPLE = 12_000
@@ -284,6 +284,7 @@ class Model:
 
 def fit(sample: DataFrame) -> Model | None:
     """The model from (doc_id, text, label); None if there is no labelled row."""
+    sample = stage(sample, "sample")  # read four times below; the whole table is scanned for it once
     terms, stems = learn_lexicon(independent(sample))
     blank = Model(terms, stems, np.zeros(8))
 
