@@ -29,7 +29,7 @@ from folioforge.llm.common import SpanHash, bytes_of, mix, read, row_blocks, sta
 SPAN, GRAM = 50, 20
 REACH = SPAN - GRAM + 1
 #: Bytes of text in a batch, and of fingerprints in a key range, on average.
-BATCH_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
+BATCH_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
 NO_ID = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -98,7 +98,8 @@ class Suffixes:
             found.append((row + a, first + base, last + base, h(at, at + GRAM), h(first, last + SPAN)))
         cat = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 5
         self.row, self.first, self.last = cat[:3]
-        self.gram, self.whole = cat[3].astype(np.uint64), cat[4].astype(np.uint64)
+        # Minimisers have small hashes: mixed once more, their grams spread evenly over the key ranges.
+        self.gram, self.whole = mix(cat[3]), cat[4].astype(np.uint64)
         self.doc = self.rank[self.row] if len(self.row) else self.row
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -64,3 +64,11 @@ def test_levels_grow_geometrically():
     levels.add(np.array([500], np.uint64), np.array([1]))
     assert [len(x[0]) for x in levels.levels] == [80, 1]
     assert sorted(h for hit, _ in levels.scan(np.array([3, 500, 999], np.uint64)) for h in hit) == [0, 1]
+
+
+def test_keys_spread_over_the_ranges(prose):
+    import pyarrow as pa
+
+    s = S.Suffixes(np.array([1]), pa.array([prose(4000, 1)]))
+    sizes = [b - a for a, b in S.ranged(np.unique(s.gram), 8)]
+    assert max(sizes) < 1.5 * min(sizes)
