@@ -61,7 +61,7 @@ QUERIES = {
     "m25_renamed_media": rows([(1, "m1 [[SOURCE_FIGURE: m1]] m1 [[SOURCE_FIGURE_ROW: m1 || m2]]")], lambda: P.renamed_media(F.col("text"), F.lit("m1"), F.lit("n9"))),
     "a5_page_confidence": lambda s, d: P.page_confidence(made(PAGES)(s, d)),
     "a16_merged_engines": lambda s, d: P.merged_engines(made(ENGINES)(s, d)),
-    "t11_checkpoints": lambda s, d: P.checkpoints_kept(made(SAVED)(s, d), F.timestamp_millis(F.lit(1705276800000)), 240, 500),
+    "t11_checkpoints": lambda s, d: P.checkpoints_kept(made(SAVED)(s, d), F.lit("2024-01-15 00:00:00").cast("timestamp"), 240, 500),
     "f2_levenshtein": lambda s, d: made(WORDS)(s, d).select("id", F.levenshtein("a", "b").alias("v")),
     "f20_section_ordinal": lambda s, d: paper_lines(s, d).select("doc_id", "line_no", T.section_ordinal(F.regexp_extract("line", r"^([IVX]+)\.", 1)).alias("v")).where("v IS NOT NULL"),
     "f19_field_labels": rows(IDENTITIES, lambda: F.array_join(F.array_compact(F.array(*(F.when(F.col("text").rlike("(?iu)" + p), F.lit(k)) for k, p in M.FIELDS.items()))), ",")),

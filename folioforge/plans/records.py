@@ -124,7 +124,7 @@ QUERIES = {
     "w9_admitted": lambda s, d: U.admitted(made(COSTS)(s, d)).select("event_id", "key", "booked"),
     "a17_merged_usage": lambda s, d: U.merged_usage(made(TOKENS)(s, d), ["read_tokens", "written_tokens"]),
     "t4_first_per_request": lambda s, d: U.first_per_request(made(TOKENS.replace("event_id, user_id", "event_id, ts, user_id"))(s, d)).select("request_id", "event_id"),
-    "t5_unexpired": lambda s, d: U.unexpired(table(s, d, "events"), F.timestamp_millis(F.lit(1705276800000))).select("event_id"),
+    "t5_unexpired": lambda s, d: U.unexpired(table(s, d, "events"), F.lit("2024-01-15 00:00:00").cast("timestamp")).select("event_id"),
     "t6_presence": lambda s, d: U.presence(made(VISITS)(s, d)).select("event_id", "room", "open"),
     "t7_first_valid": lambda s, d: U.first_valid(made(RESULTS)(s, d)).select("request_id", "provider"),
     "a20_latency": lambda s, d: U.latency(made("SELECT event_type AS grp, value AS ms FROM events")(s, d)),
