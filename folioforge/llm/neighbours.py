@@ -2,8 +2,9 @@
 
 A bounded sample is split into balanced clusters, whose centroids are broadcast with a neighbour graph over them.
 Every vector goes to the posting list of its nearest centroid, and boundary vectors, almost as near to others, to
-those lists too. A query walks the centroid graph, and the ratio of a centroid's distance to the nearest one's
-decides whether its list is read; how large a ratio, is fitted on the sample, against brute force there. Lists and the queries on them meet in blocks of bounded size.
+those lists too. A query walks the centroid graph, in which a path that comes nearer with every step leads from any
+centroid to any other, and the ratio of a centroid's distance to the nearest one's decides whether its list is read;
+how large a ratio, is fitted on the sample by such walks, against brute force there. Lists and the queries on them meet in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ NEAREST = 10
 @dataclass
 class Lists:
     centroids: np.ndarray
-    graph: np.ndarray
+    graph: list[np.ndarray]
     entry: int
     ratio: float = READ_RATIOS[-1]
 
@@ -67,13 +68,29 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0)
 
 
-def build(sample: np.ndarray, rows: int) -> Lists:
-    leaves = int(min(MOST_LISTS, max(1, rows // LIST), max(1, len(sample) // 8)))
-    c = balanced_leaves(sample, leaves)
+def navigable(c: np.ndarray) -> list[np.ndarray]:
+    """Neighbours of each of the different centroids: the DEGREE nearest, edges that lead nearer to every other one, and all of these reversed.
+
+    A centroid needs no edge to another if one of its edges ends nearer to that, so walks get from anywhere to anywhere.
+    """
     d = squared(c, c)
     np.fill_diagonal(d, np.inf)
-    graph = np.argsort(d, axis=1, kind="stable")[:, : min(DEGREE, len(c) - 1)]
-    lists = Lists(c, graph, int(squared(c, c.mean(0)[None])[:, 0].argmin()))
+    linked = np.zeros(d.shape, bool)
+    for p, order in enumerate(np.argsort(d, axis=1, kind="stable")[:, :-1]):
+        linked[p, order[:DEGREE]] = True
+        led = (d[order[:DEGREE]] < d[p]).any(0)
+        led[order[:DEGREE]] = True
+        for t in order[DEGREE:]:
+            if not led[t]:
+                linked[p, t] = led[t] = True
+                led |= d[t] < d[p]
+    return [np.flatnonzero(r) for r in linked | linked.T]
+
+
+def build(sample: np.ndarray, rows: int) -> Lists:
+    leaves = int(min(MOST_LISTS, max(1, rows // LIST), max(1, len(sample) // 8)))
+    c = np.unique(balanced_leaves(sample, leaves), axis=0)
+    lists = Lists(c, navigable(c), int(squared(c, c.mean(0)[None])[:, 0].argmin()))
     lists.ratio = calibrated(lists, sample)
     return lists
 
@@ -88,21 +105,36 @@ def posted(centroids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def calibrated(lists: Lists, sample: np.ndarray) -> float:
-    """The least read ratio with which some of the sample find RECALL of their nearest others in it, against brute force."""
+    """The least read ratio with which some of the sample find RECALL of their nearest others in it by search(), against brute force.
+
+    Where none of READ_RATIOS is enough, all lists are read.
+    """
     queries = np.linspace(0, len(sample) - 1, min(AUDIT, len(sample))).astype(int)
     parts = [(a, *posted(lists.centroids, sample[a : a + 2048])) for a in range(0, len(sample), 2048)]
     row, of = np.concatenate([r + a for a, r, _ in parts]), np.concatenate([k for _, _, k in parts])
-    needed = []
+    order = np.argsort(row, kind="stable")
+    of, bounds = of[order], np.searchsorted(row[order], np.arange(len(sample) + 1))
+    needed, wanted = [], []
     for q in queries:
         d = ((sample - sample[q]) ** 2).sum(1)
         d[q] = np.inf
         near = np.argsort(d, kind="stable")[: min(NEAREST, len(sample) - 1)]
         c = np.sqrt(((lists.centroids - sample[q]) ** 2).sum(1))
-        reach = np.full(len(sample), np.inf)
-        np.minimum.at(reach, row, c[of] / max(c.min(), 1e-12))
-        needed.append(reach[near])
-    needed = np.concatenate(needed) if needed else np.zeros(0)
-    return next((r for r in READ_RATIOS if not len(needed) or (needed <= r).mean() >= RECALL), READ_RATIOS[-1])
+        c = c / max(c.min(), 1e-12)
+        wanted.append([of[bounds[n] : bounds[n + 1]] for n in near])
+        needed.extend(c[w].min() for w in wanted[-1])
+    if not needed:
+        return READ_RATIOS[-1]
+
+    def recall(ratio: float) -> float:
+        hits = 0
+        for q, lists_of in zip(queries, wanted):
+            found = set(search(lists, sample[q], ratio))
+            hits += sum(not found.isdisjoint(w.tolist()) for w in lists_of)
+        return hits / len(needed)
+
+    # What a ratio holds at best is cheap to tell, so walks begin with the first that may be enough.
+    return next((r for r in READ_RATIOS if (np.array(needed) <= r).mean() >= RECALL and recall(r) >= RECALL), float("inf"))
 
 
 def search(lists: Lists, q: np.ndarray, ratio: float | None = None, beam: int = BEAM) -> list[int]:
@@ -135,7 +167,21 @@ def search(lists: Lists, q: np.ndarray, ratio: float | None = None, beam: int =
             break
         visit(lists.graph[k])
     best = min(dist.values())
-    return [k for k, v in dist.items() if v <= ratio * best]
+    return [k for k, v in dist.items() if ratio == float("inf") or v <= max(ratio * best, 1e-12)]
+
+
+def enough(lists: Lists, q: np.ndarray, found: list[int], ids: dict[int, int], k: int) -> list[int]:
+    """found, and while their lists may have fewer than k ids besides the query's own, the next nearest lists too."""
+    have = sum(max(ids.get(f, 0) - 1, 0) for f in found)
+    if have < k:
+        met = set(found)
+        for c in np.argsort(((lists.centroids - q) ** 2).sum(1), kind="stable").tolist():
+            if have >= k:
+                break
+            if c not in met:
+                found = [*found, c]
+                have += max(ids.get(c, 0) - 1, 0)
+    return found
 
 
 def sample_of(rows: DataFrame) -> np.ndarray:
@@ -150,8 +196,8 @@ def nearest(table: DataFrame, k: int = NEAREST, every: int = 100, ratio: float |
     """query_id, rank, vec_id, score for the vectors whose id is divisible by every, against all others.
 
     score is the Euclidean distance in double precision; ties go to the smaller vec_id. Which vectors take part,
-    see usable(). Of repeated rows each is a candidate, but a row's own id never; fewer than k candidates: all that
-    were found. Columns other than vec_id and embedding are not looked at; an empty table gives no rows.
+    see usable(). Of repeated rows each is a candidate, but a row's own id never; fewer than k candidates
+    only where the table has no more. Columns other than vec_id and embedding are not looked at; an empty table gives no rows.
     """
     spark = table.sparkSession
     rows = stage(usable(table), "vectors")
@@ -167,20 +213,22 @@ def nearest(table: DataFrame, k: int = NEAREST, every: int = 100, ratio: float |
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
                 row, of = posted(c, matrix(part.column("v")))
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "vec_id", "v"])
+                first = np.append(True, row[1:] != row[:-1])  # each vector's nearest list
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(first), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "first", "vec_id", "v"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column("v"))
-            found = [search(lists.value, q, ratio) for q in x]
+            found = [enough(lists.value, q, search(lists.value, q, ratio), ids, k) for q in x]
             row = np.repeat(np.arange(len(x)), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for f in found for k in f], pa.int32()), batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row))], ["list", "query_id", "q"])
 
-    posts = stage(rows.mapInArrow(post, "list int, vec_id long, v array<double>"), "posts")
-    asks = stage(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(ask, "list int, query_id long, q array<double>"), "asks")
-    # Counts per list: at most MOST_LISTS rows.
+    posts = stage(rows.mapInArrow(post, "list int, first boolean, vec_id long, v array<double>"), "posts")
+    # Counts per list: at most MOST_LISTS rows. An id counts in the lists that are its vectors' nearest.
     held = {r.list: r.n for r in posts.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    ids = {r.list: r.n for r in posts.where("first").select("list", "vec_id").distinct().groupBy("list").agg(F.count("*").alias("n")).collect()}
+    asks = stage(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(ask, "list int, query_id long, q array<double>"), "asks")
     asked = {r.list: r.n for r in asks.groupBy("list").agg(F.count("*").alias("n")).collect()}
     blocks = F.broadcast(spark.createDataFrame([(i, -(-n // BLOCK_VECTORS), -(-asked[i] // BLOCK_QUERIES)) for i, n in held.items() if i in asked], "list int, vb int, qb int"))
     to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -90,3 +90,24 @@ def test_search_small_tables(table):
 def test_leaves_are_balanced():
     x = np.random.default_rng(2).standard_normal((640, 4))
     assert len(neighbours.balanced_leaves(x, 16)) == 16
+
+
+def test_walks_reach_every_cluster_of_many_lists(monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST", 20)
+    rng = np.random.default_rng(4)
+    # Three clusters and a group of copies, each of which would fill more than DEGREE lists.
+    x = np.concatenate([100 * rng.standard_normal(16) + rng.standard_normal((800, 16)) for _ in range(3)] + [np.full((800, 16), 300.0)])
+    lists = neighbours.build(x, len(x))
+    assert len(lists.centroids) > 3 * 25 and len(np.unique(lists.centroids, axis=0)) == len(lists.centroids)
+    for q in x[::50]:
+        d = np.sqrt(((lists.centroids - q) ** 2).sum(1))
+        assert int(d.argmin()) in neighbours.search(lists, q)
+    assert set(neighbours.search(lists, x[0], float("inf"))) == set(range(len(lists.centroids)))
+
+
+def test_all_candidates_are_found_across_lists(table, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST", 8)
+    # Tiny far apart groups: a query's own list has fewer than k others.
+    x = np.repeat(1000.0 * np.eye(8), 8, axis=0) + np.random.default_rng(5).standard_normal((64, 8))
+    got = neighbours.nearest(table(x), every=1, ratio=1.02).groupBy("query_id").count().collect()
+    assert len(got) == 64 and all(r["count"] == 10 for r in got)
