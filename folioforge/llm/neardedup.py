@@ -2,10 +2,10 @@
 
 Equal vectors are one node from the start. A first neighbour graph comes from random-projection buckets. Then, again and
 again, each node's neighbours and reverse neighbours meet in a local join, where neighbours of neighbours are
-compared and the lists improve. The share of list places that changed says when to stop, and an audit of a bounded sample
-of nodes against all vectors says whether another round is needed. Edges at the threshold are kept. Where such
-edges fill a node's list, the list is too short for its links: lists are enlarged to all that threshold edges
-connect, compared in blocks, in double precision, so that links are counted whole without writing out pairs.
+compared and the lists improve. Edges at the threshold are kept; what they connect is a group. Where such edges fill a
+node's list, the list is too short for its links: such groups get lists of other groups' nodes only, and what those
+link is joined, until nothing more is. An audit of a bounded sample of nodes against all vectors says whether another
+round is needed. Groups are compared in blocks, in double precision, so that links are counted whole without writing out pairs.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ LEAST_ROUNDS, MOST_ROUNDS = 2, 6
 AUDIT, RECALL = 256, 0.995
 BLOCK = 1024
 SEED = 5
+#: Nodes of a full group that start its lists of other groups' nodes, on average, and rounds of these.
+HEADS, APART_ROUNDS = 8, 2
 GRAPH = "node long, nbr array<long>, sim array<float>"
 
 
@@ -50,10 +52,10 @@ def contracted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d", digest("v")).select("vec_id", "d.h1", "d.h2", "v")
 
 
-def buckets(nodes: DataFrame, count: int, width: int) -> DataFrame:
+def buckets(nodes: DataFrame, count: int, width: int, turn: int = 0) -> DataFrame:
     """(t, code, fine, node): each node's code per table, the signs of random projections, and a finer projection."""
     bits = max(1, int(np.ceil(np.log2(max(2, count / BUCKET)))))
-    planes = np.random.Generator(np.random.PCG64(SEED)).standard_normal((width, TABLES * (bits + 1))).astype(np.float32)
+    planes = np.random.Generator(np.random.PCG64(SEED + turn)).standard_normal((width, TABLES * (bits + 1))).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,14 +78,14 @@ def top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[list, list]:
     return ids[order].tolist(), sims[order].tolist()
 
 
-def offers(groups: DataFrame, offer: int) -> DataFrame:
-    """From rows (members array<struct<node, x>>), to each member its nearest others there: (node, nbr, sim)."""
+def offers(groups: DataFrame, offer: int, own: str = "node") -> DataFrame:
+    """From rows (members array<struct<node, x>>), to each member its nearest there with another own: (node, nbr, sim)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             members = batch.column("members")
             flat = members.flatten()
-            node = flat.field("node").to_numpy(zero_copy_only=False)
+            node, apart = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", own))
             x = matrix(flat.field("x")).astype(np.float32)
             off = np.concatenate([[0], np.cumsum(members.value_lengths().to_numpy(zero_copy_only=False))])
             who, near, how = [], [], []
@@ -91,7 +93,7 @@ def offers(groups: DataFrame, offer: int) -> DataFrame:
                 if b - a < 2:
                     continue
                 s = x[a:b] @ x[a:b].T
-                s[node[a:b, None] == node[None, a:b]] = -2
+                s[apart[a:b, None] == apart[None, a:b]] = -2
                 k = min(offer, b - a - 1)
                 best = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 who.append(node[a:b])
@@ -125,9 +127,9 @@ def merged(lists: DataFrame, k: int) -> DataFrame:
     return step(step(salted, "node", "salt"), "node")
 
 
-def first_graph(nodes: DataFrame, count: int, width: int) -> DataFrame:
+def first_graph(nodes: DataFrame, count: int, width: int, k: int = LIST, turn: int = 0, own: str = "node") -> DataFrame:
     """Lists from random projections: in range order of code and finer projection, runs of BUCKET places compare, however many share a code."""
-    keyed = stage(buckets(nodes, count, width), "codes")
+    keyed = stage(buckets(nodes, count, width, turn), "codes")
     order = ["t", "code", "fine", "node"]
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,20 +142,61 @@ def first_graph(nodes: DataFrame, count: int, width: int) -> DataFrame:
 
     ranged = keyed.repartitionByRange(shuffle_width(nodes.sparkSession), *order).sortWithinPartitions(*order)
     placed = stage(ranged.select("t", "node").mapInArrow(runs, "run long, node long").withColumn("p", F.spark_partition_id()), "runs")
-    groups = placed.join(nodes.select("node", "x"), "node").groupBy("p", "run").agg(F.collect_list(F.struct("node", "x")).alias("members"))
-    return merged(offers(groups, OFFER), LIST)
+    fields = list(dict.fromkeys(["node", own, "x"]))
+    groups = placed.join(nodes.select(*fields), "node").groupBy("p", "run").agg(F.collect_list(F.struct(*fields)).alias("members"))
+    return merged(offers(groups, OFFER, own), k)
 
 
-def improved(graph: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
-    """One round: neighbours of a node, and as many reverse neighbours as REVERSE on average, meet in a local join."""
+def improved(graph: DataFrame, nodes: DataFrame, turn: int, k: int = LIST, own: str = "node", inner: DataFrame | None = None) -> DataFrame:
+    """One round: neighbours of a node (in inner's lists too), and as many reverse neighbours as REVERSE on average, meet in a local join."""
     edges = graph.select("node", F.explode("nbr").alias("nbr"))
+    if inner is not None:
+        edges = edges.unionAll(inner.select("node", F.explode("nbr").alias("nbr")))
     indegree = edges.groupBy("nbr").agg(F.count("*").alias("n"))
     back = edges.join(indegree, "nbr").where(F.pmod(F.xxhash64("node", "nbr", F.lit(turn)), F.ceil(F.col("n") / REVERSE)) == 0).select(F.col("nbr").alias("at"), F.col("node").alias("member"))
     ahead = edges.select(F.col("node").alias("at"), F.col("nbr").alias("member"))
-    own = graph.select(F.col("node").alias("at"), F.col("node").alias("member"))
-    meeting = ahead.unionAll(back).unionAll(own).distinct()
-    groups = meeting.join(nodes.select(F.col("node").alias("member"), "x"), "member").groupBy("at").agg(F.collect_list(F.struct(F.col("member").alias("node"), "x")).alias("members"))
-    return merged(offers(groups, OFFER).unionAll(graph.select("node", "nbr", "sim")), LIST)
+    selves = edges.select(F.col("node").alias("at"), F.col("node").alias("member"))
+    meeting = ahead.unionAll(back).unionAll(selves).distinct()
+    fields = list(dict.fromkeys(["node", own, "x"]))
+    groups = meeting.join(nodes.select(*fields).withColumnRenamed("node", "member"), "member").groupBy("at").agg(
+        F.collect_list(F.struct(*(F.col("member").alias("node") if f == "node" else F.col(f) for f in fields))).alias("members"))
+    return merged(offers(groups, OFFER, own).unionAll(graph.select("node", "nbr", "sim")), k)
+
+
+def edges_of(graph: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst): the lists' entries at the threshold, with slack for single precision."""
+    return graph.select("node", F.explode(F.arrays_zip("nbr", "sim")).alias("e")).where(F.col("e.sim") >= threshold - 1e-4).select(F.col("node").alias("src"), F.col("e.nbr").alias("dst"))
+
+
+def joined_groups(graph: DataFrame, nodes: DataFrame, width: int, threshold: float, k: int, turn: int) -> DataFrame:
+    """(node, root): what threshold edges connect, also across groups whose nodes' lists they fill.
+
+    Of a link that no list holds both ends' lists are full, so both are in full groups. Those get lists of other groups'
+    nodes only, from a few nodes of each group first, then from their neighbours in both kinds of lists; groups that
+    a threshold edge joins are one from then on, until no edge leads out of a full group.
+    """
+    edges = stage(edges_of(graph, threshold), "links")
+    groups = stage(components(edges), "groups")
+    filled = stage(graph.where((F.size("nbr") >= k) & F.forall("sim", lambda v: v >= threshold - 1e-4)).select("node"), "full")
+    again = 0
+    while True:
+        roots = groups.join(filled, "node").select("root").distinct()
+        members = stage(groups.join(roots, "root").join(nodes.select("node", "x"), "node").select("node", "root", "x"), "members")
+        sizes = members.groupBy("root").agg(F.count("*").alias("n"))
+        if sizes.limit(2).count() < 2:
+            return groups
+        thin = F.pmod(F.xxhash64("node", F.lit(turn + 100 * again)), F.ceil(F.col("n") / HEADS)) == 0
+        heads = stage(members.join(sizes, "root").where(thin | (F.col("node") == F.col("root"))).select("node", "root", "x"), "heads")
+        across = stage(first_graph(heads, heads.count(), width, LIST, turn + 100 * (again + 1), "root"), "across")
+        inner = graph.join(members.select("node"), "node", "left_semi").select("node", "nbr")
+        for t in range(APART_ROUNDS):
+            across = stage(improved(across, members, turn + t, LIST, "root", inner), "across")
+        more = stage(edges_of(across, threshold), "links")
+        if not more.limit(1).count():
+            return groups
+        edges = stage(edges.unionAll(more), "links")
+        groups = stage(components(edges), "groups")
+        again += 1
 
 
 def linked_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
@@ -229,8 +272,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
             graph = nxt
             if turn + 1 < LEAST_ROUNDS:
                 continue
-            edges = graph.select("node", F.explode(F.arrays_zip("nbr", "sim")).alias("e")).where(F.col("e.sim") >= threshold - 1e-4).select(F.col("node").alias("src"), F.col("e.nbr").alias("dst"))
-            groups = stage(components(edges), "groups")
+            groups = joined_groups(graph, nodes, first.d, threshold, LIST, turn)
             if audit(groups, nodes, threshold) >= RECALL:
                 break
         sizes = groups.groupBy("root").agg(F.count("*").alias("size"))

@@ -111,3 +111,15 @@ def test_all_candidates_are_found_across_lists(table, monkeypatch):
     x = np.repeat(1000.0 * np.eye(8), 8, axis=0) + np.random.default_rng(5).standard_normal((64, 8))
     got = neighbours.nearest(table(x), every=1, ratio=1.02).groupBy("query_id").count().collect()
     assert len(got) == 64 and all(r["count"] == 10 for r in got)
+
+
+@pytest.mark.parametrize("parts", [3, 50])
+def test_tight_parts_of_a_group_are_linked(table, parts):
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(32)
+    mids = centre / np.linalg.norm(centre) + 0.02 * rng.standard_normal((parts, 32))
+    x = (mids[:, None] + 1e-4 * rng.standard_normal((parts, 20, 32))).reshape(-1, 32).astype(np.float32).astype(np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (u @ u.T >= 0.95).all()
+    found = neardedup.near_duplicates(table(x)).collect()
+    assert {r.component_id for r in found} == {100} and {r.n_links for r in found} == {len(x) - 1}
