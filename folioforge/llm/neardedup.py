@@ -226,23 +226,39 @@ def linked_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def audit(graph_groups: DataFrame, nodes: DataFrame, threshold: float) -> float:
-    """The share of the threshold links of a bounded sample of nodes whose two ends are in one group, against all vectors."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(AUDIT).select("node", "x").toArrow()
-    ids, x = sample.column("node").to_numpy(), matrix(sample.column("x"))
-    shared = nodes.sparkSession.sparkContext.broadcast((ids, x))
+    """The share of the nodes with threshold links whose links all lead into their own group, estimated against all vectors.
+
+    Nodes without a group, in small and in large groups are sampled apart, AUDIT of each and four times as many without
+    one, and count by their kinds' numbers: pairs weigh as much as two nodes of thousands of copies.
+    """
+    grouped = graph_groups.dropDuplicates(["node"])
+    sizes = grouped.groupBy("root").agg(F.count("*").alias("size"))
+    size = F.coalesce("size", F.lit(1))
+    kinds = nodes.select("node", "x").join(grouped, "node", "left").join(sizes, "root", "left").select(
+        "node", "x", F.coalesce("root", "node").alias("root"), F.when(size == 1, 0).when(size <= LIST, 1).otherwise(2).alias("kind"))
+    number = {r.kind: r.n for r in kinds.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    tables = [kinds.where(F.col("kind") == k).orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(4 * AUDIT if k == 0 else AUDIT).toArrow() for k in sorted(number)]
+    ids, roots, kind = (np.concatenate([t.column(c).to_numpy() for t in tables]) for c in ("node", "root", "kind"))
+    x = np.concatenate([matrix(t.column("x")) for t in tables])
+    shared = nodes.sparkSession.sparkContext.broadcast((ids, roots, x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        who, own = shared.value
+        who, of, own = shared.value
+        linked, left = np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)
         for batch in batches:
-            node = batch.column("node").to_numpy()
-            a, b = np.nonzero(own @ matrix(batch.column("x")).T >= threshold)
-            keep = who[a] != node[b]
-            yield pa.RecordBatch.from_arrays([pa.array(who[a][keep]), pa.array(node[b][keep])], ["node", "other"])
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                near = (own @ matrix(part.column("x")).T >= threshold) & (who[:, None] != part.column("node").to_numpy()[None])
+                linked += near.sum(1)
+                left += (near & (of[:, None] != part.column("root").to_numpy()[None])).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(linked), pa.array(left)], ["node", "linked", "out"])
 
-    links = nodes.select("node", "x").mapInArrow(run, "node long, other long")
-    ends = links.join(graph_groups.select("node", F.col("root").alias("r1")), "node", "left").join(graph_groups.select(F.col("node").alias("other"), F.col("root").alias("r2")), "other", "left")
-    row = ends.agg(F.count("*").alias("n"), F.count_if(F.col("r1") == F.col("r2")).alias("hit")).first()
-    return row.hit / row.n if row.n else 1.0
+    counts = kinds.select("node", "root", "x").mapInArrow(run, "node long, linked long, out long").groupBy("node").agg(F.sum("linked").alias("linked"), F.sum("out").alias("out")).collect()
+    of_kind = dict(zip(ids.tolist(), kind.tolist()))
+    weight = {k: number[k] / t.num_rows for k, t in zip(sorted(number), tables)}
+    linked = sum(weight[of_kind[r.node]] for r in counts if r.linked)
+    missed = sum(weight[of_kind[r.node]] for r in counts if r.out)
+    return 1 - missed / linked if linked else 1.0
 
 
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -265,16 +281,24 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     empty = table.sparkSession.createDataFrame([], "node long, root long")
     found = table.sparkSession.createDataFrame([], "node long, links long, other long")
     if count > 1:
+        k = LIST
         graph = stage(first_graph(nodes, count, first.d), "graph")
         for turn in range(MOST_ROUNDS):
-            nxt = stage(improved(graph, nodes, turn), "graph")
+            if turn >= LEAST_ROUNDS:
+                # The audit has failed: longer lists, and candidates from other projections.
+                k += LIST
+                graph = stage(merged(graph.unionAll(first_graph(nodes, count, first.d, k, turn)), k), "graph")
+            nxt = stage(improved(graph, nodes, turn, k), "graph")
             discard(graph)
             graph = nxt
             if turn + 1 < LEAST_ROUNDS:
                 continue
-            groups = joined_groups(graph, nodes, first.d, threshold, LIST, turn)
+            groups = joined_groups(graph, nodes, first.d, threshold, k, turn)
             if audit(groups, nodes, threshold) >= RECALL:
                 break
+        else:
+            # No graph has passed: all nodes are compared with all, in the same blocks.
+            groups = nodes.select("node", F.lit(0).cast("long").alias("root"))
         sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
         members = groups.join(sizes, "root").join(nodes, "node").select(F.col("root").alias("grp"), "size", "node", "copies", "x")
         found = stage(linked_in_blocks(members, threshold), "links")

@@ -123,3 +123,23 @@ def test_tight_parts_of_a_group_are_linked(table, parts):
     assert (u @ u.T >= 0.95).all()
     found = neardedup.near_duplicates(table(x)).collect()
     assert {r.component_id for r in found} == {100} and {r.n_links for r in found} == {len(x) - 1}
+
+
+def test_audit_sees_missed_pairs_beside_a_large_group(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.standard_normal(16) + 1e-3 * rng.standard_normal((600, 16)), np.repeat(rng.standard_normal((40, 16)), 2, axis=0) + 1e-3 * rng.standard_normal((80, 16))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(u)], "node long, x array<double>")
+    groups = spark.createDataFrame([(k, 0) for k in range(600)], "node long, root long")
+    assert neardedup.audit(groups, nodes, 0.95) < neardedup.RECALL
+    whole = groups.unionAll(spark.createDataFrame([(k, k - k % 2) for k in range(600, 680)], "node long, root long"))
+    assert neardedup.audit(whole, nodes, 0.95) == 1
+
+
+def test_graph_that_never_passes_is_not_used(table, monkeypatch):
+    monkeypatch.setattr(neardedup, "MOST_ROUNDS", 2)
+    monkeypatch.setattr(neardedup, "improved", lambda graph, *a: graph.where("node < 0"))
+    x = np.repeat(np.eye(6), 2, axis=0) + 1e-3 * np.random.default_rng(8).standard_normal((12, 6))
+    monkeypatch.setattr(neardedup, "discard", lambda df: None)
+    found = neardedup.near_duplicates(table(x)).collect()
+    assert {r.n_links for r in found} == {1} and sum(r.kept for r in found) == 6
