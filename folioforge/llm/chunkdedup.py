@@ -1,7 +1,7 @@
 """Substring dedup by content-defined chunks.
 
 A gear rolling hash over the last 16 bytes decides where chunks end: after the white space whose hash is the largest
-around, so that an insertion shifts the cuts only near itself. Equal chunks are found by digest: the first one in (doc_id, place) order stays, the
+around, or the character where no white space is near, so that an insertion shifts the cuts only near itself. Equal chunks are found by digest: the first one in (doc_id, place) order stays, the
 others are cut out of their documents.
 """
 
@@ -37,16 +37,25 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 
 def cut_points(data: np.ndarray) -> np.ndarray:
-    """Places after those white spaces whose hash is the largest of all within REACH bytes: they depend on nothing farther."""
-    at = np.flatnonzero(_SPACE[data])
+    """Places after those candidates whose hash is the largest of all within REACH bytes: they depend on little more.
+
+    Candidates are white spaces, and the ends of characters that have none within REACH bytes. Of equal hashes
+    each is a cut, so repetitive text is cut in step with what it repeats. Zeros stand between texts.
+    """
+    space = _SPACE[data]
+    seen = np.concatenate([[0], np.cumsum(space)])
+    place = np.arange(len(data))
+    alone = seen[np.minimum(place + REACH + 1, len(data))] == seen[np.maximum(place - REACH, 0)]
+    ended = np.append((data[1:] & 0xC0) != 0x80, True) & (data != 0)
+    at = np.flatnonzero(space | alone & ended)
     h = gear(data)[at]
     best = np.ones(len(at), bool)
     for k in range(1, REACH + 1):
         near = at[k:] - at[:-k] <= REACH
         if not near.any():
             break
-        best[:-k] &= ~near | (h[:-k] > h[k:])
-        best[k:] &= ~near | (h[k:] > h[:-k])
+        best[:-k] &= ~near | (h[:-k] >= h[k:])
+        best[k:] &= ~near | (h[k:] >= h[:-k])
     return at[best] + 1
 
 

@@ -77,3 +77,23 @@ def test_cuts_do_not_depend_on_neighbours(prose):
     texts = [prose(40, 1), "", prose(90, 2), "  x ", prose(90, 2)]
     together = [ends for _, ends in C.chunked(pa.array(texts))]
     assert together == [next(iter(C.chunked(pa.array([t]))))[1] for t in texts]
+
+
+@pytest.mark.parametrize("kind", ["letters", "no-break", "encoded", "periodic"])
+def test_text_without_white_space_is_cut_by_content(docs, kind):
+    import random
+
+    r = random.Random(3)
+    make = {
+        "letters": lambda n: "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(n)),
+        "no-break": lambda n: "".join(r.choice("abcdefg\u00a0") for _ in range(n)),
+        "encoded": lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n)),
+        "periodic": lambda n: "abcdefghij" * (n // 10),
+    }[kind]
+    passage = make(900)
+    other = lambda n: "".join(chr(r.randrange(0x3B1, 0x3C9)) for _ in range(n))
+    rows = [(1, other(200) + passage + other(200)), (2, other(77) + passage[:400] + "x" + passage[400:] + other(131))]
+    found = {x.doc_id: x for x in C.dedup_substrings(docs(rows)).collect()}
+    assert found[2].n_removed > 0.6 * len(passage.encode())
+    ends = next(iter(C.chunked(__import__("pyarrow").array([rows[0][1]]))))[1]
+    assert max(b - a for a, b in zip([0, *ends], ends)) < C.MOST
