@@ -20,8 +20,6 @@ from folioforge.llm.common import _SPACE, bytes_of, read, row_blocks, stage
 
 #: Bytes: a chunk's least and most, and how far around itself a cut's hash must be the largest.
 LEAST, MOST, REACH = 24, 512, 28
-#: Bytes that neighbouring repeated chunks must have together to be cut out, unless they are the whole text.
-LEAST_RUN = 80
 GEAR_SEED = 7
 _GEAR = np.random.Generator(np.random.PCG64(GEAR_SEED)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -164,7 +162,6 @@ def without_repeats(raw: bytes, ends: list[int], gone: set[int]) -> tuple[bytes,
             else:
                 runs.append([a, b, 1])
         seen.add(chunk)
-    runs = [r for r in runs if r[1] - r[0] >= min(LEAST_RUN, len(raw))]
     kept = [raw[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(raw)])]
     return b"".join(kept), sum(r[2] for r in runs)
 
@@ -172,8 +169,8 @@ def without_repeats(raw: bytes, ends: list[int], gone: set[int]) -> tuple[bytes,
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """docs with text deduplicated, and n_bytes, n_chunks, n_removed_chunks, n_removed.
 
-    Of equal chunks the first one in (doc_id, place) order stays, a null id before all others; a run of repeated
-    chunks is cut out from LEAST_RUN bytes on, or as the whole text. Chunks of fewer
+    Of equal chunks the first one in (doc_id, place) order stays, a null id before all others; the
+    others are cut out. Chunks of fewer
     than LEAST bytes (only whole texts are that short) stay. Rows that share an id, repeated rows too, don't
     take chunks from each other. Null text stays null and removes nothing; empty text stays empty. Columns of
     docs keep their names, whatever those are; the four above are added. An empty table gives no rows.

@@ -97,3 +97,15 @@ def test_text_without_white_space_is_cut_by_content(docs, kind):
     assert found[2].n_removed > 0.6 * len(passage.encode())
     ends = next(iter(C.chunked(__import__("pyarrow").array([rows[0][1]]))))[1]
     assert max(b - a for a, b in zip([0, *ends], ends)) < C.MOST
+
+
+def test_a_single_repeated_chunk_is_removed(docs, prose):
+    first = prose(120, 21)
+    (raw, ends), = C.chunked(__import__("pyarrow").array([first]))
+    a, b = next((a, b) for a, b in zip(ends[1:], ends[2:]) if b - a < 80)
+    # The chunk with the bytes before it that its cuts depend on.
+    near = raw[a - 44 : b + C.REACH].decode()
+    rows = [(1, first), (2, prose(30, 22) + " " + near + " " + prose(30, 23))]
+    found = {r.doc_id: r for r in C.dedup_substrings(docs(rows)).collect()}
+    assert found[2].n_removed > 0 and raw[a:b].decode() not in found[2].text
+    assert C.without_repeats(raw, ends, {int.from_bytes(C.digest(raw[a:b])[:8], "little", signed=True)}) == (raw[:a] + raw[b:], 1)
