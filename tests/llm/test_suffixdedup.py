@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioforge.llm import suffixdedup as S
@@ -35,7 +36,7 @@ def run(df):
 @pytest.mark.parametrize("batch", [700, 1 << 20])
 def test_against_brute_force(docs, prose, odd, monkeypatch, batch):
     monkeypatch.setattr(S, "BATCH_BYTES", batch)
-    monkeypatch.setattr(S, "RANGE_BYTES", batch)
+    monkeypatch.setattr(S, "PART_BYTES", batch)
     a, b = prose(30, 1), prose(30, 2)
     rows = odd + [(10 + k, prose(20, 10 + k) + a + prose(5, 60 + k) + (b if k % 3 else "")) for k in range(12)]
     rows += [(40, a), (41, a + b), (42, "ab" * 100), (43, "ab" * 80 + "c"), (44, a[:49]), (45, a[:50]), (46, a[3:53] + "x" + a[3:53]), (46, a)]
@@ -57,18 +58,44 @@ def test_each_window_has_the_minimiser_of_its_bytes():
 
 
 def test_levels_grow_geometrically():
-    levels = S.Levels()
+    family = S.Family(np.minimum)
+    keys = lambda *x: np.array([b"%03d" % k for k in x])
     for k in range(8):
-        levels.add(np.arange(k * 10, k * 10 + 10, dtype=np.uint64), np.arange(10))
-    assert [len(x[0]) for x in levels.levels] == [80]
-    levels.add(np.array([500], np.uint64), np.array([1]))
-    assert [len(x[0]) for x in levels.levels] == [80, 1]
-    assert sorted(h for hit, _ in levels.scan(np.array([3, 500, 999], np.uint64)) for h in hit) == [0, 1]
+        family.add(k, keys(*range(k * 10, k * 10 + 10)), np.full(10, k))
+    assert [len(x.keys) for x in family.levels] == [80]
+    family.add(8, keys(5, 500), np.array([-1, 8]))
+    assert [len(x.keys) for x in family.levels] == [80, 2]
+    level = family.whole()
+    assert len(level.keys) == 81 and list(level.keys) == sorted(level.keys) and level.values[5] == -1
+    assert all((level.keys[at] == keys(*(range(b * 10, b * 10 + 10) if b < 8 else (5, 500)))).all() for b, at in level.places)
 
 
-def test_keys_spread_over_the_ranges(prose):
-    import pyarrow as pa
-
+def test_keys_spread_over_the_parts(prose):
     s = S.Suffixes(np.array([1]), pa.array([prose(4000, 1)]))
-    sizes = [b - a for a, b in S.ranged(np.unique(s.gram), 8)]
-    assert max(sizes) < 1.5 * min(sizes)
+    sizes = np.bincount(S.dealt(np.unique(s.gram), 8))
+    assert sizes.max() < 1.5 * sizes.min()
+
+
+def test_suffixes_in_byte_order(prose):
+    s = S.Suffixes(np.array([1]), pa.array([prose(400, 1)]))
+    keys = np.sort(s.records(s.first, s.last, s.at))
+    assert [bytes(k) for k in keys] == sorted(bytes(k) for k in keys)
+    raw, r = s.data.tobytes(), s.records(s.first, s.last, s.at)
+    for f, l, m, x in zip(s.first, s.last, s.at, r):
+        assert bytes(x).startswith(raw[m : l + S.SPAN]) and bytes(x)[S.SPAN :].startswith(raw[f:m][::-1])
+
+
+def test_hot_grams_are_dealt_by_window(docs, prose, monkeypatch):
+    monkeypatch.setattr(S, "BATCH_BYTES", 900)
+    monkeypatch.setattr(S, "PART_BYTES", 900)
+    monkeypatch.setattr(S, "HOT", 3)
+    common = prose(8, 1)
+    rows = [(k // 2, prose(4, 100 + k) + " " + common + " " + prose(4, 200 + k // 3)) for k in range(30)]
+    assert run(S.remove_repeats(docs(rows))) == brute(rows)
+
+
+def test_rows_of_one_id_in_many_batches(docs, prose, monkeypatch):
+    monkeypatch.setattr(S, "BATCH_BYTES", 400)
+    a = prose(30, 1)
+    rows = [(7, a + prose(9, k)) for k in range(12)] + [(3, prose(5, 99)), (None, a), (None, a + "x"), (9, a[:80]), (7, a)]
+    assert run(S.remove_repeats(docs(rows))) == brute(rows)
