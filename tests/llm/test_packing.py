@@ -16,8 +16,7 @@ def check(found, capacity):
 
 def test_pieces_are_those_of_the_tokenizer(docs, prose, odd):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    rows = odd + [(10 + k, prose(n, k)) for k, n in enumerate((3, 400, 900, 2500))] + [(90, "a<|endoftext|>b")]
+    rows = odd + [(10 + k, prose(n, k)) for k, n in enumerate((3, 400, 900, 2500))] + [(90, "a<|endoftext|>b"), (91, " <|endoftext|><|endoftext|> x<|endoftext|"), (92, "<|endoftext|>")]
     found = packing.pack_documents(docs(rows)).toPandas()
     check(found, 1024)
     for doc, text in rows:
