@@ -1,6 +1,6 @@
 """Sharding by a two-pass external shuffle.
 
-First pass: records go to buckets by a seeded hash of their content, as many buckets as keep one in memory.
+First pass: records go to buckets by a seeded hash of their content and, for equal records, of a number, as many buckets as keep one in memory.
 Second pass: each bucket is put in a fixed order and shuffled by Fisher-Yates with a seed of its own. The buckets
 one after the other are the shuffled table; dealing its places round-robin gives shards whose row counts differ
 by one at most (law ``rows``), each in random order.
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,23 +33,44 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
 
 
 def scatter(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
-    """Pass 1: a bucket for each record. Repeated rows get a number of their own, so that copies scatter too."""
+    """Pass 1: a bucket for each record. Equal records are numbered, so that copies scatter too."""
     text = F.coalesce("text", F.lit(""))
     sized = docs.select(
         "doc_id", "text", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    hashed = F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")
+    sized = numbered(sized.withColumn("key", F.xxhash64("doc_id", "text", "size")))
+    hashed = F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size", "copy")
     return sized.withColumn("place", hashed).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.lit(buckets)).cast("int"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds copy: how many equal keys stand before the row in its partition, and where that isn't 0, which partition that is.
+
+    Which of several equal records gets which number makes no difference, so a task that runs again deals them alike.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, int] = {}
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            copies = np.zeros(batch.num_rows, np.int64)
+            for k, key in enumerate(batch.column("key").to_numpy().tolist()):
+                n = met.get(key, 0)
+                met[key] = n + 1
+                copies[k] = n and n << 24 | part
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in PAYLOAD), pa.array(copies)], [*PAYLOAD, "copy"])
+
+    return rows.mapInArrow(run, "doc_id long, text string, size long, text_crc32 long, copy long")
+
+
 def shuffle_pass(scattered: DataFrame, seed: int, buckets: int) -> DataFrame:
     """Pass 2: the records of each bucket in shuffled order, with their index there."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("size", pa.int64()), ("text_crc32", pa.int64()), ("place", pa.int64()), ("bucket", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("size", pa.int64()), ("text_crc32", pa.int64()), ("copy", pa.int64()), ("place", pa.int64()), ("bucket", pa.int32())])
 
     def flush(rows: list[pa.RecordBatch], bucket: int) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(rows).combine_chunks()
-        whole = whole.sort_by([(c, "ascending") for c in ("place", "doc_id", "text_crc32", "size")])
+        whole = whole.sort_by([(c, "ascending") for c in ("place", "doc_id", "text_crc32", "size", "copy")])
         order = fisher_yates(len(whole), seed * 1_000_003 + bucket)
-        out = whole.take(pa.array(order)).drop_columns(["place"]).append_column("at", pa.array(np.arange(len(whole)), pa.int64()))
+        out = whole.take(pa.array(order)).drop_columns(["place", "copy"]).append_column("at", pa.array(np.arange(len(whole)), pa.int64()))
         yield from out.to_batches(max_chunksize=4096)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,5 +34,14 @@ def test_written_shards(spark, docs, prose, tmp_path):
     assert back.count() == 50 and sorted(r.shard for r in back.select("shard").distinct().collect()) == [0, 1, 2, 3]
 
 
+def test_equal_rows_scatter(docs, prose):
+    text = prose(5, 1)
+    scattered = sharding.scatter(docs([(None, text)] * 600 + [(1, "x")] * 3).repartition(3), 1, 32)
+    per = Counter(r.bucket for r in scattered.collect())
+    assert len(per) == 32 and max(per.values()) < 60
+    found = sharding.external_shuffle(docs([(None, text)] * 600), bucket_bytes=500).collect()
+    assert len(found) == 600 and len({(r.shard, r.slot) for r in found}) == 600
+
+
 def test_empty(docs):
     assert sharding.external_shuffle(docs([])).count() == 0
