@@ -85,7 +85,7 @@ def band_keys(grams: np.ndarray, off: np.ndarray, bands: int, rows: int) -> np.n
 
 
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(did, h1, h2, bands): digest of the n-gram set and band hashes; null digest without words."""
+    """(did, own, h1, h2, bands): a hash of the text, digest of the n-gram set and band hashes; null digest without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,10 +103,10 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                         keys[i] = found[k]
                 none = np.diff(o) == 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("did").slice(at, n), pa.array(digest[:, 0], mask=none), pa.array(digest[:, 1], mask=none), pa.array(keys, pa.list_(pa.int64()))], ["did", "h1", "h2", "bands"])
+                    [batch.column("did").slice(at, n), batch.column("own").slice(at, n), pa.array(digest[:, 0], mask=none), pa.array(digest[:, 1], mask=none), pa.array(keys, pa.list_(pa.int64()))], ["did", "own", "h1", "h2", "bands"])
                 at += n
 
-    return docs.select("did", "_text").mapInArrow(run, "did long, h1 long, h2 long, bands array<long>")
+    return docs.select("did", "own", "_text").mapInArrow(run, "did long, own long, h1 long, h2 long, bands array<long>")
 
 
 def verify_block(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -202,17 +202,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows: int = R
     """
     bands = bands_for(threshold, rows, recall)
     none = F.lit((1 << 63) - 1)
-    base = docs.select(F.coalesce("doc_id", none).alias("did"), F.coalesce("text", F.lit("")).alias("_text"))
+    base = docs.select(F.coalesce("doc_id", none).alias("did"), F.coalesce("text", F.lit("")).alias("_text")).withColumn("own", F.xxhash64("_text"))
     signed = stage(signatures(base, bands, rows), "signatures")
-    alike = signed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("did").alias("rep"), F.count("*").alias("copies"))
+    # A set's representative is a row of the least id; same: how many rows have its id and text.
+    rows_of = signed.where("h1 IS NOT NULL").groupBy("h1", "h2", "did", "own").agg(F.count("*").alias("same"))
+    alike = rows_of.groupBy("h1", "h2").agg(F.min(F.struct("did", "own", "same")).alias("r"), F.sum("same").alias("copies")).select(
+        "h1", "h2", F.col("r.did").alias("rep"), F.col("r.own").alias("rep_text"), F.col("r.same").alias("same"), "copies")
     alike = stage(alike.withColumn("node", F.monotonically_increasing_id()), "classes")
-    heads = signed.join(alike, (signed.h1 == alike.h1) & (signed.h2 == alike.h2) & (signed.did == alike.rep)).select("node", "rep", "copies", "bands").dropDuplicates(["node"])
+    heads = signed.join(alike, (signed.h1 == alike.h1) & (signed.h2 == alike.h2) & (signed.did == alike.rep) & (signed.own == alike.rep_text)).select("node", "rep", "copies", "bands").dropDuplicates(["node"])
     keyed = heads.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("dst")).where("n > 1").drop("n")
     edges = keyed.join(shared, ["band", "key"]).where("node <> dst").select(F.col("node").alias("src"), "dst")
     groups = stage(components(edges), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    members = groups.join(sizes, "root").join(alike, "node").select(F.col("rep").alias("did"), "node", "copies", F.col("root").alias("grp"), "size", "h1", "h2")
+    members = groups.join(sizes, "root").join(alike, "node").select(F.col("rep").alias("did"), F.col("rep_text").alias("own"), "same", "node", "copies", F.col("root").alias("grp"), "size", "h1", "h2")
 
     def gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +224,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows: int = R
             for data, off in lowered(batch.column("_text")):
                 grams, o = shingles(data, off)
                 sets = [grams[a:b].tobytes() for a, b in zip(o[:-1].tolist(), o[1:].tolist())]
-                # Rows that share an id may have other texts: the digest of the set decides.
+                # Rows that share an id and a hash may still have other texts: the digest of the set decides.
                 halves = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in sets), np.int64).reshape(-1, 2)
                 n = len(sets)
                 own = np.flatnonzero((halves[:, 0] == h1[at : at + n]) & (halves[:, 1] == h2[at : at + n]))
@@ -230,7 +233,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows: int = R
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("grp", "size", "node", "copies")), pa.array([sets[k] for k in own], pa.binary())], ["grp", "size", "node", "copies", "grams"])
 
     # After the join, so that only members of candidate groups are cut into n-grams.
-    chosen = base.join(members, "did").select("grp", "size", "node", "copies", "h1", "h2", "_text").mapInArrow(gram_sets, "grp long, size long, node long, copies long, grams binary")
+    met = base.join(members, ["did", "own"]).select("same", "grp", "size", "node", "copies", "h1", "h2", "_text")
+    # Of rows that have one id and one text, ids that are null for one, one is enough.
+    single = met.where("same = 1").unionAll(met.where("same > 1").dropDuplicates(["node", "_text"]))
+    chosen = single.drop("same").mapInArrow(gram_sets, "grp long, size long, node long, copies long, grams binary")
     found = stage(verified(chosen, threshold), "verified")
     links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("other IS NOT NULL").select(F.col("node").alias("src"), F.col("other").alias("dst")))
