@@ -16,9 +16,11 @@ BLOCK_BYTES = 512 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Only where that is unset, as in tests, one is chosen here."""
+    """The cluster's shared folder (spark.checkpoint.dir). Only where that is unset and all runs in one process, as in tests, one is chosen here."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -153,14 +155,16 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, bound: int) -> DataFrame:
     """(doc_id, text, label) of at most bound labelled rows outside the held-out fold, those whose ids hash lowest.
 
-    The bound keeps what is fitted on the driver small at any size; rows with a null label or text don't count.
+    The bound keeps what is fitted on the driver small at any size; rows with a null label or text don't count, and of rows
+    that share an id the one whose text comes first in byte order does.
     """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_of_id() % modulus != held_out))
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
-    return docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
