@@ -33,16 +33,23 @@ QUOTES = frozenset("\"“”«»„")
 REPORTING = frozenset(
     "said says quoted quote wrote called calling term word insult slur reported "
     "dit disait cité écrit appelé mot sagte sagt zitiert schrieb genannt wort dijo dice citó escribió llamado palabra".split())
-#: The usual stand-ins for letters, read as the letters.
-LOOKALIKE = str.maketrans("0134578@$", "oleastbas")
-MISS, EXACT, STEM, NEAR, FAR_NEAR = 0, 1, 2, 3, 4
+#: The usual stand-ins for letters, read as the letters; a one has two readings.
+LOOKALIKES = [str.maketrans("0134578@$!", one) for one in ("oleastbasi", "oieastbasi")]
+_STANDING_IN = frozenset("0134578@$!")
+#: How a word meets the lexicon, the surest first. LOOSE: edits on the first letter, exchanged neighbours, a second edit or a short term.
+MISS, EXACT, STEM, NEAR, FAR_NEAR, LOOSE = 0, 1, 2, 3, 4, 5
+#: What a hit of each kind counts.
+COUNTS = (1.0, 1.0, 0.6, 0.4, 0.4)
+FEATURES = len(COUNTS) + 3
 
 
 class LexiconAutomaton:
     """Deterministic product of a trie of terms and stems with Levenshtein automata.
 
-    A state is a set of (trie node, edits so far); ``allowed`` edits depend on the length of the entry at the
-    end. read(word) gives EXACT, STEM (a stem begins it), NEAR (a term within its edits), FAR_NEAR (a stem with an edit) or MISS.
+    A state is a set of (trie node, edits so far, letter owed, loose): an edit is a letter too many, too few or another, or two
+    neighbours exchanged, of which the second is owed then. How many are allowed depends on the length of the entry at the end: one
+    from four letters, two from nine. read(word) gives EXACT, STEM (a stem begins it), NEAR (a term of five letters with one edit behind its
+    first letter), FAR_NEAR (a stem so), LOOSE (the other terms within their edits, and stems of six letters with one) or MISS.
     """
 
     def __init__(self, terms: list[str], stems: list[str], long_word: int = 5):
@@ -61,7 +68,12 @@ class LexiconAutomaton:
                     node = self.next[node][c]
                 kind[node] = 1
         self.long_word = long_word
-        start = self._close({(0, 0)})
+        # The length of the longest entry through each node: more edits than that allows lead nowhere.
+        self.longest = list(self.length)
+        for node in range(len(self.next) - 1, -1, -1):  # a child's number is larger than its parent's
+            for child in self.next[node].values():
+                self.longest[node] = max(self.longest[node], self.longest[child])
+        start = self._close({(0, 0, "", False)})
         self.ids: dict[frozenset, int] = {frozenset(): 0, start: 1}
         self.sets: list[frozenset] = [frozenset(), start]
         self.steps: list[dict[str, int]] = [{}, {}]
@@ -69,40 +81,60 @@ class LexiconAutomaton:
         self.stemmed: list[int] = [MISS, MISS]
 
     def edits(self, length: int) -> int:
-        return 1 if length >= self.long_word else 0
+        return 2 if length >= 9 else 1 if length >= 4 else 0
 
-    def _close(self, states: set[tuple[int, int]]) -> frozenset:
-        """With deletions: a letter of the entry that the word lacks. An edit on the first letter isn't allowed."""
+    def _close(self, states: set[tuple]) -> frozenset:
+        """With letters of the entry that the word lacks."""
         more = list(states)
         while more:
-            node, e = more.pop()
-            if e == 0 and node:
+            node, e, owed, loose = more.pop()
+            if not owed:
                 for child in self.next[node].values():
-                    if (child, 1) not in states:
-                        states.add((child, 1))
-                        more.append((child, 1))
+                    new = (child, e + 1, "", loose or not node or e > 0)
+                    if e < self.edits(self.longest[child]) and new not in states:
+                        states.add(new)
+                        more.append(new)
         return frozenset(states)
 
+    def _kind(self, node: int, e: int, owed: str, loose: bool) -> tuple[int, int]:
+        """What a state says if the word ends here, and if it goes on."""
+        n = self.length[node]
+        if owed:
+            return MISS, MISS
+        ends = begun = MISS
+        if self.term[node] and e <= self.edits(n):
+            ends = EXACT if e == 0 else NEAR if n >= self.long_word and e == 1 and not loose else LOOSE
+        if self.stem[node] and (e == 0 or e == 1 and n > self.long_word):
+            begun = STEM if e == 0 else LOOSE if loose else FAR_NEAR
+        return ends, begun
+
     def step(self, state: int, c: str) -> int:
         found = self.steps[state].get(c)
         if found is not None:
             return found
-        out: set[tuple[int, int]] = set()
-        for node, e in self.sets[state]:
+        out: set[tuple] = set()
+        for node, e, owed, loose in self.sets[state]:
+            if owed:
+                if c == owed:
+                    out.add((node, e, "", True))
+                continue
             if c in self.next[node]:
-                out.add((self.next[node][c], e))
-            if e == 0 and node:
-                out.add((node, 1))  # a letter too many
-                out.update((child, 1) for child in self.next[node].values())  # another letter
+                out.add((self.next[node][c], e, "", loose))
+            if e < self.edits(self.longest[node]):
+                out.add((node, e + 1, "", loose or not node or e > 0))  # a letter too many
+                for x, child in self.next[node].items():
+                    if e < self.edits(self.longest[child]):
+                        out.add((child, e + 1, "", loose or not node or e > 0))  # another letter
+                        if x != c and c in self.next[child]:
+                            out.add((self.next[child][c], e + 1, x, True))  # exchanged with the one behind it
         key = self._close(out)
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            ends = [EXACT if e == 0 else NEAR for n, e in key if self.term[n] and e <= self.edits(self.length[n])]
-            begun = [STEM if e == 0 else FAR_NEAR for n, e in key if self.stem[n] and e <= self.edits(self.length[n] - 1)]
-            self.final.append(min(ends, default=MISS))
-            self.stemmed.append(min(begun, default=MISS))
+            kinds = [self._kind(*s) for s in key]
+            self.final.append(min((k for k, _ in kinds if k), default=MISS))
+            self.stemmed.append(min((k for _, k in kinds if k), default=MISS))
         self.steps[state][c] = self.ids[key]
         return self.ids[key]
 
@@ -135,9 +167,10 @@ class Reader:
         if k is None:
             word = bare(token)
             k = self.automaton.read(word) if word else MISS
-            if not k and word and not word.isalpha():
-                k = self.automaton.read(bare(token.translate(LOOKALIKE)))
-                k = NEAR if k == EXACT else k
+            # Marks that stand for letters are read as such before marks are stripped.
+            if k in (MISS, LOOSE) and not _STANDING_IN.isdisjoint(token) and any(c.isalpha() for c in token):
+                read = [self.automaton.read(bare(token.translate(t))) for t in LOOKALIKES]
+                k = min((NEAR if r == EXACT else r for r in (*read, k) if r), default=MISS)
             if len(self.seen) >= self.remember:
                 self.seen.clear()
             self.seen[token] = k
@@ -148,7 +181,7 @@ class Reader:
         tokens = text.lower().split()
         kind = self.kind
         hits = [(i, k) for i, t in enumerate(tokens) if (k := kind(t))]
-        out = np.zeros(7, np.float64)
+        out = np.zeros(FEATURES, np.float64)
         if not hits:
             return out
         quoted = 0.0
@@ -163,14 +196,14 @@ class Reader:
             around = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
             marks = sum(1 for t in around if t[0] in QUOTES or t[-1] in QUOTES)
             told = sum(1 for t in around if bare(t) in REPORTING)
-            score = (1.0, 1.0, 0.6, 0.4)[k - 1] * (1 + 0.5 * min(near, 4)) * (0.3 if marks >= 2 or told else 1.0)
+            score = COUNTS[k - 1] * (1 + 0.5 * min(near, 4)) * (0.3 if marks >= 2 or told else 1.0)
             quoted += marks >= 2 or bool(told)
             total += score
             out[k - 1] += 1
-        out[:4] = np.log1p(out[:4])
-        out[4] = np.log1p(total)
-        out[5] = 1 - quoted / len(hits)
-        out[6] = np.log1p(100 * total / len(tokens))
+        out[:LOOSE] = np.log1p(out[:LOOSE])
+        out[LOOSE] = np.log1p(total)
+        out[LOOSE + 1] = 1 - quoted / len(hits)
+        out[LOOSE + 2] = np.log1p(100 * total / len(tokens))
         return out
 
 
@@ -286,7 +319,7 @@ def fit(sample: DataFrame) -> Model | None:
     """The model from (doc_id, text, label); None if there is no labelled row."""
     sample = stage(sample, "sample")  # read four times below; the whole table is scanned for it once
     terms, stems = learn_lexicon(independent(sample))
-    blank = Model(terms, stems, np.zeros(8))
+    blank = Model(terms, stems, np.zeros(FEATURES + 1))
 
     @arrow_udf("array<double>")
     def features(texts: pa.Array) -> pa.Array:
@@ -318,7 +351,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted.
 
     Only labels of the other folds are learned from. Null or empty text gets the score of a text without hits;
-    null doc_id counts as not held out; repeated rows get equal scores; an empty table gives no rows.
+    null doc_id counts as not held out; repeated rows and rows of equal texts get equal scores; an empty table gives no rows. Texts
+    of any length are scored whole, one at a time. Columns other than doc_id and text are not looked at.
     """
     model = fit(labelled_sample(docs, labels, "toxic", MODULUS, HELD_OUT, SAMPLE))
     return with_score(docs.select("doc_id", "text"), model, "score").select(

@@ -2,26 +2,48 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.llm import quality, toxicity
-from folioforge.llm.toxicity import EXACT, MISS, NEAR, STEM, LexiconAutomaton, Reader
+from folioforge.llm.toxicity import EXACT, LOOSE, MISS, NEAR, STEM, LexiconAutomaton, Reader
 
 
 def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row, old = [i], row
-        for j, y in enumerate(b, 1):
-            row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
-    return row[-1]
+    """Edit distance with exchanged neighbours as one edit."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
 
 def test_automaton_against_edit_distance():
-    terms = ["idiot", "moron", "stupid", "scum"]
+    import random
+
+    terms = ["idiot", "moron", "stupid", "scum", "degenerate", "ass"]
     auto = LexiconAutomaton(terms, [])
-    words = terms + ["idiott", "idot", "iddiot", "moran", "stupit", "stupd", "skum", "scu", "idi", "", "clean", "morons", "stuped", "xdiot", "ido"]
+    words = terms + ["idiott", "idot", "iddiot", "moran", "stupit", "stupd", "skum", "scu", "idi", "", "clean", "morons", "stuped", "xdiot", "ido", "stpuid", "scvm", "cmus", "degnerat", "as"]
+    r = random.Random(1)
+    for w in terms * 150:
+        w = list(w)
+        for _ in range(r.randint(1, 3)):
+            k = r.randrange(len(w)) if w else 0
+            w[k : k + r.randint(0, 2)] = r.choice([[], ["x"], w[k : k + 2][::-1], [r.choice("idostum")]])
+        words.append("".join(w))
     for w in words:
-        exact = w in terms
-        near = any(len(t) >= 5 and w[:1] == t[:1] and edits(w, t) <= 1 for t in terms)
-        assert auto.read(w) == (EXACT if exact else NEAR if near else MISS), w
+        allowed = [t for t in terms if edits(w, t) <= (2 if len(t) >= 9 else 1 if len(t) >= 4 else 0)]
+        sure = any(len(t) >= 5 and w[:1] == t[:1] and edits(w[1:], t[1:]) <= 1 and len(w) != len(t) for t in allowed)
+        got = auto.read(w)
+        assert (got != MISS) == bool(allowed), w
+        assert (got == EXACT) == (w in terms), w
+        assert not sure or got in (EXACT, NEAR, LOOSE), w
+    assert [auto.read(w) for w in ("idot", "moran", "stpuid", "xdiot", "diot", "scvm", "degnerat")] == [NEAR, NEAR, LOOSE, LOOSE, LOOSE, LOOSE, LOOSE]
+
+
+def test_marks_and_digits_that_stand_for_letters():
+    reader = Reader(LexiconAutomaton(["idiot", "asshole", "stupid"], []))
+    for token in ("1diot", "1d10t", "id1ot", "$tupid", "@sshole", "stup!d", "*diot", "xdiot", "(idiot)"):
+        assert reader.kind(token) != MISS, token
+    assert [reader.kind(t) for t in ("$5", "100", "1st", "@home", "3.14", "wow!")] == [MISS] * 6
 
 
 def test_stems_begin_words():
@@ -32,8 +54,8 @@ def test_stems_begin_words():
 def test_quotation_lowers_the_window_score():
     reader = Reader(LexiconAutomaton(["idiot", "moron"], []))
     plain, told = reader.features("you are an idiot and a moron"), reader.features('he said the word "idiot" and the word "moron" are insults')
-    assert plain[4] > told[4] and plain[5] == 1 and told[5] == 0
-    assert (reader.features("") == 0).all() and reader.features("1d10t")[3] > 0 or reader.features("id1ot")[2] > 0
+    assert plain[5] > told[5] and plain[6] == 1 and told[6] == 0
+    assert (reader.features("") == 0).all() and reader.features("1d10t")[2] > 0 and reader.features("id1ot")[2] > 0
 
 
 @pytest.mark.parametrize("module, label, most_wrong", [(quality, "quality", 0.04), (toxicity, "toxic", 0.04)])
