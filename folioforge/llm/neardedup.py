@@ -23,7 +23,7 @@ from pyspark.sql.functions import arrow_udf
 from folioforge.llm.common import discard, read, shuffle_width, stage
 from folioforge.llm.graph import components
 from folioforge.llm.jaccardjoin import spanning
-from folioforge.llm.vectors import matrix, unit, usable
+from folioforge.llm.vectors import USABLE_SQL, matrix, usable
 
 THRESHOLD = 0.95
 #: Neighbours in a list, reverse neighbours that join them, and what a local join offers each member.
@@ -317,4 +317,11 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_embedding_near_dedup": op10_embedding_near_dedup}
-ORACLE: dict = {}
+#: All pairs, and what links connect.
+ORACLE = {"op10_embedding_near_dedup": f"""
+    WITH RECURSIVE {USABLE_SQL}, r AS (SELECT row_number() OVER () AS r, vec_id, v FROM u),
+    l AS (SELECT a.r AS a, b.r AS b FROM r a JOIN r b ON a.r <> b.r WHERE list_cosine_similarity(a.v, b.v) >= {THRESHOLD}),
+    c AS (SELECT r AS a, r AS b FROM r UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+    k AS (SELECT c.a, min(r.vec_id) AS component_id FROM c JOIN r ON r.r = c.b GROUP BY c.a)
+    SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = r.r) AS n_links, component_id, vec_id = component_id AS kept FROM r JOIN k ON k.a = r.r
+    UNION ALL SELECT vec_id, 0, vec_id, vec_id IS NOT NULL FROM embeddings WHERE vec_id IS NULL OR vec_id NOT IN (SELECT vec_id FROM u)"""}

@@ -24,6 +24,12 @@ def usable(table: DataFrame) -> DataFrame:
     return fine.where(F.size("v") == (width.d if width else 0))
 
 
+#: The same in DuckDB: u(vec_id, v).
+USABLE_SQL = """f AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    u AS (SELECT * FROM f WHERE len(v) = (SELECT len(v) FROM f GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1))"""
+
+
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column of equal lengths as a 2-d array."""
     if isinstance(column, pa.ChunkedArray):
