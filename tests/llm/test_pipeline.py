@@ -1,3 +1,7 @@
+from collections import Counter
+
+import pyarrow as pa
+
 import corpus_pipeline as P
 from folioforge.llm import chunkdedup, jaccardjoin, quality, registry, toxicity
 
@@ -16,11 +20,18 @@ def test_stages_act_on_what_came_before(spark, sf):
         elif name == "toxicity":
             bad = {r.doc_id for r in toxicity.classify(P.read(spark, sf, "documents"), P.read(spark, sf, "labels")).where("predicted = 1").collect()} & set(before)
         elif name == "near_duplicates":
-            bad = {r.doc_id for r in jaccardjoin.near_duplicates(docs).collect() if r.doc_id != r.class_id}
+            found = jaccardjoin.near_duplicates(docs).collect()
+            assert sorted(r.class_id for r in found if r.doc_id in after) == sorted({r.class_id for r in found})
+            bad = set(before) - set(after)
         else:
-            cut = {r.doc_id: r.text for r in chunkdedup.dedup_substrings(docs).collect()}
-            bad = {k for k, t in cut.items() if not t and before[k]}
-            assert after == {k: t for k, t in cut.items() if k not in bad}
+            # Of every chunk that documents share, one copy is left in all.
+            bad = set(before) - set(after)
+            assert all(before[k] and k not in after for k in bad)
+            cut = {k: [raw[a:b] for (raw, ends) in chunkdedup.chunked(pa.array([t])) for a, b in zip([0, *ends], ends) if b - a >= chunkdedup.LEAST] for k, t in before.items() if t}
+            chunks = {c for own in cut.values() for c in own}
+            left = Counter(c for k, own in cut.items() for c in set(own) if k in after and c in after[k].encode())
+            assert all(left[c] >= 1 for c in chunks)
+            assert sum(len(t.encode()) for t in after.values() if t) == sum(len(t.encode()) for t in before.values() if t) - sum(len(c) for own in cut.values() for c in own) + sum(map(len, chunks))
         assert set(before) - set(after) == bad
         docs = kept
     packed = P.STAGES[-1][1](spark, docs, sf).toPandas()
@@ -39,6 +50,19 @@ def test_stages_on_odd_rows(spark, docs, odd, sf):
                 assert out.columns == df.columns
 
 
+def test_rows_that_share_an_id(spark, docs, prose):
+    from pyspark.sql import functions as F
+
+    a, b, c = prose(80, 1), prose(80, 2), prose(80, 3)
+    rows = [(1, a), (1, b), (None, c), (None, c), (None, None), (2, a + " end"), (1, ""), (1, "")]
+    df = docs(rows).select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), "node")
+    kept = [r.text for r in P.keep_one_of_each(spark, df, "").collect()]
+    assert sorted(t or "" for t in kept if t in (b, c, "", None)) == sorted([b, c, "", "", ""])
+    assert len([t for t in kept if t and t.startswith(a)]) == 1
+    cut = [r.text for r in P.cut_repeats(spark, df.where("text IS NULL OR text <> ''"), "").collect()]
+    assert sum(map(len, filter(None, cut))) < len(a + b + c) + 80 and None in cut
+
+
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
     assert [name for name, _ in P.STAGES] == ["quality", "toxicity", "near_duplicates", "repeated_passages", "packing"]
