@@ -19,6 +19,14 @@ from folioforge.operators import markers as M
     (M.writing_boxes, "Fill the missing letters A to L", "Fill the missing letters A to L"),
     (M.maths_rows, "1 | 2 | 3 | 4 | 5\nWrite numbers from 1 to 20", "[[GRID_ROW: 1 || 2 || 3 || 4 || 5]]\nWrite numbers from 1 to 20\n[[GRID: 10x2]]"),
     (M.closed_lines, "[TABLE_ROW: a || \n[[GRID: 2x2]]", "[[TABLE_ROW: a]]\n[[GRID: 2x2]]"),
+    (M.pipe_tables, "वर्णमाला\n| क | ख | ग | घ |\n| a | b |", "वर्णमाला\n[[GRID_ROW: क || ख || ग || घ]]\n| a | b |"),
+    (M.pipe_tables, "| | |\n| | |\n|---|---|\n| 1 | 2 |\n| | | |", "[[GRID: 2x2]]\n|---|---|\n| 1 | 2 |\n[[GRID: 3x1]]"),
+    (M.native_rows, "[[TABLE_ROW: Name : || Roll no :]]\nClass: 5 || Time: 1 || Marks", "[[TABLE_ROW: Name : || Roll no :]]\n\n[[TABLE_ROW: Class: 5 || Time: 1 || Marks]]"),
+    (M.closed_lines, "[[COUNT_OBJECTS: Stars , 5|3|Box|1.5,2,3,4.2]] = [[ ]] [[]]", "[[COUNT_OBJECTS: star,5|3.|box|1,2,4,5]] [[CHECKBOX]]"),
+    (M.closed_lines, "[[SOURCE_FIGURE_ROW: [[SOURCE_FIGURE: a]] || [[SOURCE_FIGURE: b]]]]", "[[SOURCE_FIGURE_ROW: a || b]]"),
+    (M.maths_rows, "I. Tens and ones\n1 || 2 || 3\nII. x\n1 || 2 || 3", "I. Tens and ones\n[[TABLE_ROW: 1 || 2 || 3]]\nII. x\n1 || 2 || 3"),
+    (M.without_repeated_prelude, "Answer the following\n\n[[SECTION_ROW: II. Answer the following || 5M]]", "\n\n[[SECTION_ROW: II. Answer the following || 5M]]"),
+    (M.without_repeated_prelude, "Read it\n[[SECTION_ROW: II. Read it || 5M]]\nsame line\nsame line", "Read it\n[[SECTION_ROW: II. Read it || 5M]]\nsame line\nsame line"),
     (M.recognised_markup, "<table><tr><td>a</td><th>b</th></tr></table>", "[[TABLE_ROW: a || b]]"),
     (M.recognised_markup, "<table><tr><td>a</td>junk</tr></table>", "<table><tr><td>a</td>junk</tr></table>"),
     (M.grid_cells, "\n".join("abcdefgh") + "\nxx", "[[GRID_ROW: a || b || c || d || e || f || g || h]]\nxx"),
@@ -51,3 +59,16 @@ def test_protection_is_undone():
 
 def test_runs():
     assert M.styled_runs("a [[UNDERLINE: b]] c") == [("", "a "), ("underline", "b"), ("", " c")]
+
+
+def test_crowded_headers_that_are_read_again_go():
+    crowded = "[[TABLE_ROW: Name: Class: 5 Roll no Marks: 50 Date: 1]]"
+    clean = "[[TABLE_ROW: Name: || Class: 5]]\n[[TABLE_ROW: Roll no || Marks: 50]]"
+    assert M.without_repeated_headers(f"{crowded}\n\n{clean}\nI. Read") == f"\n{clean}\nI. Read"
+    assert M.without_repeated_headers(f"{crowded}\nI. Read") == f"{crowded}\nI. Read"
+
+
+def test_maths_figures():
+    assert M.maths_figure("COUNT_OBJECTS", "star,5|3.|box|1,2,3,4") == {"kind": "COUNT_OBJECTS", "label": "3.", "answer": True, "region": [1, 2, 3, 4], "object": "star", "count": 5}
+    assert M.maths_figure("ABACUS", "T=3,O=4")["rods"] == {"T": 3, "O": 4}
+    assert [M.maths_figure(k, b) for k, b in (("COUNT_OBJECTS", "star,31"), ("COUNT_OBJECTS", "cow,3"), ("ABACUS", "T=3,T=4"), ("ABACUS", "T=3|x"), ("ABACUS", "T=3|1|box|0,0,1001,1"))] == [None] * 5
