@@ -72,8 +72,8 @@ def heading_number(line: Column) -> Column:
 
 
 def sequence_findings(rows: DataFrame) -> DataFrame:
-    """[W2] Headings that don't follow the one before by one: doc_id, line_no, number, previous."""
-    heads = rows.select("doc_id", "line_no", heading_number(F.col("line")).alias("number")).where("number IS NOT NULL")
+    """[W2] Headings that don't follow the one before by one: doc_id, line_no, line, number, previous."""
+    heads = rows.select("doc_id", "line_no", "line", heading_number(F.col("line")).alias("number")).where("number IS NOT NULL")
     return heads.withColumn("previous", F.lag("number").over(by_line())).where("previous IS NOT NULL AND number <> previous + 1")
 
 
@@ -84,40 +84,98 @@ def out_of_order_sections(rows: DataFrame) -> DataFrame:
     return heads.withColumn("previous", F.lag("number").over(by_line("epoch"))).where("number < previous").select("doc_id", "line_no", "number", "previous")
 
 
-def print_issues(docs: DataFrame, most: int = 20) -> DataFrame:
-    """[P16] doc_id, ord, category, evidence of the read-only checks before printing, the first few per document."""
-    text = F.col("text")
-    one = lambda place, category, evidence, when: F.when(when, F.struct(F.lit(place).alias("place"), F.lit(-1).alias("line_no"), F.lit(category).alias("category"), F.lit(evidence).alias("evidence")))
-    whole = docs.select("doc_id", F.explode(F.array_compact(F.array(
-        one(0, "sections", "Bit I", ~text.rlike(r"(?i)\[\[SECTION_ROW:\s*I(?:[.)\s]|\s*\|\|)") & ~text.rlike(r"(?m)^\s*I[.)\s]+\S")),
-        one(1, "ocr", "[unclear]", text.rlike(r"(?i)\[unclear(?::[^\]\n]*)?\]|\x{FFFD}")),
-        one(2, "images", "[[PICTURE: …]]", text.rlike(r"(?i)\[\[PICTURE(?:_ROW|_OPTION)?:")),
-        one(4, "questions", "Question numbering", ~text.rlike(r"(?im)^\s*(?:[0-9०-९]+[.)]|\[\[(?:QUESTION_ROW|MATCH_ROW|CHOICE_ROW|QA_ROW):)"))))).alias("x"))
-    rows = lines(docs)
-    gaps = sequence_findings(rows).join(rows, ["doc_id", "line_no"]).select("doc_id", F.struct(
-        F.lit(5).alias("place"), "line_no", F.lit("sections").alias("category"), F.substring("line", 1, 140).alias("evidence")).alias("x"))
+#: What each check says.
+DETAILS = {
+    "opening": "Opening Bit I was not found. Check the source PDF before printing.",
+    "unclear": "Uncertain OCR characters must be checked against the source.",
+    "picture": "A picture placeholder still needs a real illustration.",
+    "wide": "Image row exceeds the five-column print grid.",
+    "unnumbered": "No clearly numbered question items were detected. Compare with every source page.",
+    "sequence": "Section sequence has a gap or duplicate. Recover omitted bits from the PDF; do not invent a question.",
+    "marks": "Marks arithmetic differs from the printed total. Verify the source before changing marks.",
+}
+#: Categories of issues.
+CATEGORIES = ["sections", "questions", "marks", "alignment", "images", "pages", "language", "ocr"]
+ISSUES = "array<struct<severity: string, category: string, evidence: string, detail: string>>"
+
+
+def _issue(category: str, evidence: Column, detail: str) -> Column:
+    return F.struct(F.lit("review").alias("severity"), F.lit(category).alias("category"), evidence.alias("evidence"), F.lit(DETAILS[detail]).alias("detail"))
+
+
+def _line_issues(text: Column) -> Column:
+    """Of each line in order: a heading that doesn't follow the one before by one, and marks whose product is another."""
     marks = r"(\d+)\s*[x×]\s*(\d+)\s*=\s*(\d+)"
-    part = lambda k: F.regexp_extract("line", marks, k).try_cast("decimal(18,0)")
-    sums = rows.where(F.col("line").rlike(marks)).where(part(1) * part(2) != part(3)).select("doc_id", F.struct(
-        F.lit(5).alias("place"), "line_no", F.lit("marks").alias("category"), F.regexp_extract("line", marks, 0).alias("evidence")).alias("x"))
-    order = Window.partitionBy("doc_id").orderBy("place", "line_no", F.desc("category"))
-    found = whole.unionByName(gaps).unionByName(sums).select("doc_id", "x.*").withColumn("ord", F.row_number().over(order))
-    return found.where(F.col("ord") <= most).select("doc_id", "ord", "category", "evidence")
+
+    def step(s: Column, line: Column) -> Column:
+        number = heading_number(line)
+        factor = lambda k: F.regexp_extract(line, marks, k).try_cast("decimal(18,0)")
+        found = F.array_compact(F.array(
+            F.when(number.isNotNull() & (number != s["previous"] + 1), _issue("sections", F.substring(line, 1, 140), "sequence")),
+            F.when(line.rlike(marks) & (factor(1) * factor(2) != factor(3)), _issue("marks", F.regexp_extract(line, marks, 0), "marks"))))
+        return F.struct(F.coalesce(number, s["previous"]).alias("previous"), F.concat(s["found"], found).alias("found"))
+
+    start = F.struct(F.lit(None).cast("int").alias("previous"), F.array().cast(ISSUES).alias("found"))
+    return F.aggregate(F.split(text, "\r?\n"), start, step)["found"]
+
+
+def issues_of(text: Column, continuation: Column | bool = False, most: int = 20) -> Column:
+    """[P16] The read-only checks before printing as an array, the first few; a continuation needs no opening section. One scan, without a shuffle."""
+    text = F.coalesce(text, F.lit(""))
+    goes_on = continuation if isinstance(continuation, Column) else F.lit(continuation)
+    opened = text.rlike(r"(?i)\[\[SECTION_ROW:\s*I(?:[.)\s]|\s*\|\|)") | text.rlike(r"(?m)^\s*I[.)\s]+\S")
+    figures = r"(?i)\[\[SOURCE_FIGURE(?:_ROW)?:\s*([^\]]+)\]\]"
+    wide = F.filter(
+        F.zip_with(T.all_of(text, figures, 0), T.all_of(text, figures, 1), lambda m, body: F.struct(m.alias("m"), F.size(F.filter(F.split(body, r"\s*\|\|\s*"), lambda x: x != "")).alias("n"))),
+        lambda x: x["n"] > 5)
+    whole = lambda when, *issue: F.array_compact(F.array(F.when(when, _issue(*issue))))
+    found = F.concat(
+        whole(~F.coalesce(goes_on, F.lit(False)) & ~opened, "sections", F.lit("Bit I"), "opening"),
+        whole(text.rlike(r"(?i)\[unclear(?::[^\]\n]*)?\]|\x{FFFD}"), "ocr", F.lit("[unclear]"), "unclear"),
+        whole(text.rlike(r"(?i)\[\[PICTURE(?:_ROW|_OPTION)?:"), "images", F.lit("[[PICTURE: …]]"), "picture"),
+        F.transform(wide, lambda x: _issue("images", F.substring(x["m"], 1, 100), "wide")),
+        whole(~text.rlike(r"(?im)^\s*(?:[0-9०-९]+[.)]|\[\[(?:QUESTION_ROW|MATCH_ROW|CHOICE_ROW|QA_ROW):)"), "questions", F.lit("Question numbering"), "unnumbered"),
+        _line_issues(text))
+    return F.slice(found, 1, most)
+
+
+def _listed(docs: DataFrame, issues: Column) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(issues).alias("ord", "x")).select("doc_id", (F.col("ord") + 1).alias("ord"), "x.*")
+
+
+def print_issues(docs: DataFrame, most: int = 20) -> DataFrame:
+    """[P16] doc_id, ord, severity, category, evidence, detail; docs may say in continuation which of them go on from another page."""
+    return _listed(docs, issues_of(F.col("text"), F.col("continuation") if "continuation" in docs.columns else False, most))
 
 
-def supported_issues(issues: DataFrame, docs: DataFrame, most: int = 10) -> DataFrame:
-    """[P17] Of the first 3 * most issues (doc_id, ord, category, evidence) per document, those whose evidence stands in the text."""
-    order = Window.partitionBy("doc_id").orderBy("ord")
-    looked = issues.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= 3 * most)
-    kept = looked.join(docs.select("doc_id", "text"), "doc_id").where((F.length("evidence") > 0) & F.col("text").contains(F.substring("evidence", 1, 140)))
-    return kept.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).select("doc_id", "ord", "category", "evidence")
+def supported_of(issues: Column, text: Column, most: int = 10) -> Column:
+    """[P17] Of the first 3 * most issues those whose evidence stands in the text and that say something, in their allowed form."""
+    said = lambda x, n: F.substring(F.coalesce(x, F.lit("")), 1, n)
+    formed = F.transform(F.slice(issues, 1, 3 * most), lambda i: F.struct(
+        F.when(i["severity"] == "critical", "critical").otherwise("review").alias("severity"),
+        F.when(i["category"].isin(CATEGORIES), i["category"]).otherwise("alignment").alias("category"),
+        said(i["evidence"], 140).alias("evidence"), said(i["detail"], 250).alias("detail")))
+    return F.slice(F.filter(formed, lambda i: (i["evidence"] != "") & (i["detail"] != "") & F.coalesce(text, F.lit("")).contains(i["evidence"])), 1, most)
+
+
+def supported_issues(proposed: DataFrame, most: int = 10) -> DataFrame:
+    """[P17] The usable ones of each document's proposed issues (doc_id, text, issues)."""
+    return _listed(proposed, supported_of(F.col("issues"), F.col("text"), most))
+
+
+def reviewed(proposed: DataFrame, most: int = 18, most_proposed: int = 8) -> DataFrame:
+    """[O6] The checks' issues of each document, then the usable proposed ones, most in all."""
+    return _listed(proposed, F.slice(F.concat(issues_of(F.col("text")), supported_of(F.col("issues"), F.col("text"), most_proposed)), 1, most))
 
 
 #: Patterns of the line kinds.
 BLOCKS = {
     "pagebreak": r"(?i)^\[\[PAGEBREAK\]\]$", "picture": r"(?i)^\[\[PICTURE(?:_OPTION)?:\s*(.*?)\]\]$", "checkboxes": r"(?i)^\[\[CHECKBOX\]\]$",
     "option_row": r"(?i)^\[\[OPTION_ROW:\s*(.*?)\]\]$", "match_table": r"(?i)^\[\[MATCH_ROW:\s*(.*?)\s*\|\|\s*(.*?)\]\]$",
+    "branch": r"(?i)^\[\[BRANCH_ROOT:\s*(.*?)\]\]$", "branch_item": r"(?i)^\[\[BRANCH_ITEM:\s*(.*?)\s*\|\|\s*(.*?)\]\]$", "branch_end": r"(?i)^\[\[BRANCH_END\]\]$",
 }
+#: The marks at the end of a heading.
+HEADING_MARKS = r"(?s)\(?\s*\d+\s*[xX×*]\s*\d+.*$"
 CLASS = r"(?i)\b(?:CLASS|STD|STANDARD|GRADE)\s*[-:.]?\s*([IVXLCDM\d]+)"
 TITLE = r"(?i)(?:ASSESSMENT|EXAMINATION|EXAM|ANNUAL|HALF[- ]?YEARLY|SUMMATIVE|FORMATIVE|FA|SA)\b"
 PART = r"(?i)^\s*(?:PART\s*[-:]?\s*[A-Z]|SECTION\s*[-:]?\s*[A-Z]|UNIT\s*[-:]?\s*\w+)\b.*$"
@@ -132,22 +190,49 @@ def line_kind(line: Column) -> Column:
     return (
         F.when(line == "", "blank").when(rule("pagebreak"), "pagebreak")
         .when(line.rlike(CLASS) & (F.length(line) <= 80) & plain, "title").when(line.rlike(TITLE) & (F.length(line) <= 90) & plain, "title")
+        .when(rule("branch"), "branch")
         .when(rule("picture"), "picture_grid").when(rule("checkboxes"), "checkboxes").when(rule("option_row"), "option_row").when(rule("match_table"), "match_table")
         .when((line.rlike(PART) | line.rlike(HEADING)) & ~line.rlike(QUESTION), "section").otherwise("text"))
 
 
 def typed_lines(rows: DataFrame) -> DataFrame:
-    """Lines with kind."""
-    return rows.withColumn("line", F.trim("line")).withColumn("kind", line_kind(F.col("line")))
+    """Lines with kind and opens: the lines from a branch's root to its end are of the branch; blanks between pictures are of the pictures' kind.
+
+    opens: a branch begins here. All windows have one partitioning and order.
+    """
+    above = by_line().rowsBetween(Window.unboundedPreceding, -1)
+    below = by_line().rowsBetween(1, Window.unboundedFollowing)
+    typed = rows.withColumn("line", F.trim("line")).withColumn("own", line_kind(F.col("line")))
+    root, end = F.when(F.col("own") == "branch", F.col("line_no")), F.when(F.col("line").rlike(BLOCKS["branch_end"]), F.col("line_no"))
+    solid = F.when(F.col("own") != "blank", F.col("own"))
+    around = typed.withColumns({
+        "root": F.max(root).over(above), "end": F.coalesce(F.max(end).over(above), F.lit(-1)),
+        "before": F.last(solid, ignorenulls=True).over(above), "after": F.first(solid, ignorenulls=True).over(below)})
+    inside = F.coalesce(F.col("root") > F.col("end"), F.lit(False))
+    gap = (F.col("own") == "blank") & (F.col("before") == "picture_grid") & (F.col("after") == "picture_grid")
+    kind = F.when(inside, "branch").when(F.coalesce(gap, F.lit(False)), "picture_grid").otherwise(F.col("own"))
+    return around.withColumns({"kind": kind, "opens": (F.col("own") == "branch") & ~inside}).drop("root", "end", "before", "after")
+
+
+def heading_text(line: Column) -> Column:
+    """A heading without its marks."""
+    bare = F.regexp_replace(F.regexp_replace(line, HEADING_MARKS, ""), r"^[ .\t]+|[ .\t]+$", "")
+    return F.regexp_replace(F.when(bare != "", bare).otherwise(line), r"\.+$", "")
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """[W4, F22] doc_id, block, kind, n_lines, text: neighbouring picture or match lines are one block (gaps and islands)."""
-    joined = F.col("kind").isin("picture_grid", "match_table")
+    """[W4, F22] doc_id, block, line_no, kind, n_lines, text, raw: neighbouring picture or match lines, and a branch, are one block (gaps and islands).
+
+    n_lines counts the pictures, rows or items of a block; text is its first line, a heading without its marks, a branch's root; raw is the line as it was.
+    """
+    joined = F.col("kind").isin("picture_grid", "match_table", "branch") & ~F.col("opens")
     starts = F.when(joined & F.coalesce(F.lag("kind").over(by_line()) == F.col("kind"), F.lit(False)), 0).otherwise(1)
     numbered = typed_lines(rows).withColumn("starts", starts).withColumn("block", F.sum("starts").over(by_line().rowsBetween(*UP_TO_HERE)))
-    return numbered.groupBy("doc_id", "block").agg(
-        F.min("line_no").alias("line_no"), F.min("kind").alias("kind"), F.count("*").alias("n_lines"), F.min_by("line", "line_no").alias("text"))
+    counted = F.when(F.col("kind") == "branch", F.col("line").rlike(BLOCKS["branch_item"])).otherwise((F.col("kind") == "blank") | (F.col("own") != "blank"))
+    raw = F.min_by("line", "line_no")
+    grouped = numbered.groupBy("doc_id", "block").agg(F.min("line_no").alias("line_no"), F.min("kind").alias("kind"), F.count_if(counted).alias("n_lines"), raw.alias("raw"))
+    text = F.when(F.col("kind") == "section", heading_text(F.col("raw"))).when(F.col("kind") == "branch", F.trim(F.regexp_extract("raw", BLOCKS["branch"], 1))).otherwise(F.col("raw"))
+    return grouped.withColumn("text", text)
 
 
 def collapse_blanks(rows: DataFrame) -> DataFrame:
@@ -171,7 +256,7 @@ def split_by_class(rows: DataFrame) -> DataFrame:
 def block_weight() -> Column:
     """[A7] Body lines that a block takes on paper."""
     return (
-        F.when(F.col("kind") == "picture_grid", 4.5).when(F.col("kind") == "match_table", F.col("n_lines") + 0.5)
+        F.when(F.col("kind") == "picture_grid", 4.5).when(F.col("kind") == "match_table", F.col("n_lines") + 0.5).when(F.col("kind") == "branch", F.col("n_lines") + 1.5)
         .when(F.col("kind") == "title", 1.6).when(F.col("kind") == "section", 1.5).when(F.col("kind").isin("checkboxes", "option_row"), 1.4).otherwise(1.0))
 
 
@@ -192,7 +277,7 @@ def smart_fit(rows: DataFrame, budget: int) -> DataFrame:
 
 def marks_totals(rows: DataFrame) -> DataFrame:
     """[A6] Per document the sum of the sections' marks, and the sections whose printed total is wrong."""
-    marked = rows.where("kind = 'section'").withColumn("m", T.parse_marks(F.col("text"))).where("m IS NOT NULL")
+    marked = rows.where("kind = 'section'").withColumn("m", T.parse_marks(F.col("raw"))).where("m IS NOT NULL")
     wrong = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("m.mismatch"), F.struct("line_no", F.col("m.raw").alias("raw"))))), lambda x: x["raw"]), "; ")
     return marked.groupBy("doc_id").agg(F.sum("m.total").alias("grand_total"), F.count_if("m.mismatch").alias("n_wrong"), wrong.alias("wrong"))
 
@@ -202,22 +287,43 @@ def with_page_break(rows: DataFrame) -> DataFrame:
     return rows.withColumn("break_before", F.coalesce(F.lag("kind").over(by_line()) == "pagebreak", F.lit(False))).where("kind <> 'pagebreak'")
 
 
-def short_runs(rows: DataFrame, least: int = 8, most_chars: int = 2) -> DataFrame:
-    """[W11] Runs of least or more neighbouring non-blank lines of at most most_chars characters: doc_id, first_line, n, side, cells."""
-    short = F.when((F.length(F.trim("line")) > 0) & (F.length(F.trim("line")) <= most_chars), 1).otherwise(0)
-    marked = rows.withColumn("short", short)
-    island = marked.withColumn("g", F.row_number().over(by_line()) - F.row_number().over(by_line("short"))).where("short = 1")
-    runs = island.groupBy("doc_id", "g").agg(
-        F.min("line_no").alias("first_line"), F.count("*").alias("n"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: F.trim(x["line"])), "|").alias("cells"))
-    return runs.where(F.col("n") >= least).select("doc_id", "first_line", "n", F.ceil(F.sqrt("n")).cast("int").alias("side"), "cells")
+def short_runs(rows: DataFrame, least: int = 8, most_chars: int = 4, least_cells: int = 6) -> DataFrame:
+    """[W11] Runs of least or more short lines as grids, numbers at either end left out: doc_id, first_line, n, columns, rows, cells.
+
+    Blank lines don't part a run; any other line does. A grid has least_cells cells at least, and as many columns as make it square.
+    """
+    solid = rows.withColumn("cell", F.trim("line")).where("cell <> ''")
+    marked = solid.withColumn("short", (F.length("cell") <= most_chars) & ~F.col("cell").startswith("[["))
+    island = marked.withColumn("g", F.row_number().over(by_line()) - F.row_number().over(by_line("short"))).where("short")
+    held = F.array_sort(F.collect_list(F.struct("line_no", "cell")))
+    runs = island.groupBy("doc_id", "g").agg(F.min("line_no").alias("first_line"), held.alias("all")).where(F.size("all") >= least)
+    said = F.filter(F.transform("all", lambda x, k: F.when(~x["cell"].rlike("^[0-9]+$"), k + 1)), lambda k: k.isNotNull())
+    kept = runs.withColumn("said", said).where("size(said) > 0").withColumn(
+        "cells", F.transform(F.slice("all", F.array_min("said"), F.array_max("said") - F.array_min("said") + 1), lambda x: x["cell"])).where(F.size("cells") >= least_cells)
+    n = F.size("cells")
+    columns = F.ceil(F.sqrt(n)).cast("int")
+    return kept.select("doc_id", "first_line", n.alias("n"), columns.alias("columns"), F.ceil(n / columns).cast("int").alias("rows"), F.array_join("cells", "|").alias("cells"))
+
+
+#: Patterns of a section row and of what is no word of a heading.
+SECTION_OPEN = r"(?i)^\s*\[\[SECTION_ROW:"
+ORDINAL = r"(?i)^\s*(?:\[\[(?:SECTION_ROW|QUESTION_ROW):\s*)?([IVX]{1,6})(?:[.)\s]|$)"
+
+
+def heading_words(line: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(line, SECTION_OPEN + r"\s*", ""), r"(?s)\s*\|\|.*$", "")
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?i)^\s*[IVX]{1,6}[.)\s]+", ""), "[^A-Za-z0-9]+", " ")))
 
 
 def dedupe_prelude(rows: DataFrame) -> DataFrame:
-    """[W14] Non-blank lines, without those that repeat the line before in other spacing or case."""
-    plain = F.lower(T.squeeze(F.col("line")))
-    solid = rows.where(F.length(F.trim("line")) > 0)
-    return solid.withColumn("before", F.lag(plain).over(by_line())).where(F.col("before").isNull() | (F.col("before") != plain)).drop("before")
+    """[W14] A plain line that says in at least twelve characters what the section row below it says goes blank; blank lines may stand between."""
+    below = F.first(F.when(F.trim("line") != "", F.col("line")), ignorenulls=True).over(by_line().rowsBetween(1, Window.unboundedFollowing))
+    numbered = lambda c: F.upper(F.regexp_extract(c, ORDINAL, 1)).isin(T.ROMAN)
+    plain = (F.trim("line") != "") & ~F.col("line").rlike(r"^\s*\[\[") & ~numbered(F.col("line"))
+    heading = F.col("below").rlike(SECTION_OPEN) & numbered(F.col("below"))
+    words = heading_words(F.col("line"))
+    repeated = plain & heading & (F.length(words) >= 12) & (words == heading_words(F.col("below")))
+    return rows.withColumn("below", below).withColumn("line", F.when(F.coalesce(repeated, F.lit(False)), "").otherwise(F.col("line"))).drop("below")
 
 
 def compact_pages(rows: DataFrame) -> DataFrame:

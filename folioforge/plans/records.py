@@ -71,8 +71,8 @@ def md5_of(df: DataFrame, *names: str) -> DataFrame:
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most frequent corrections, replayed in order over the parts' names."""
-    rules = [(r.original, r.corrected) for r in E.ranked_pairs(E.pair_counts(made(CORRECTIONS)(spark, sf_dir)), 5).collect()]
+    """All corrections that the store lists, at most 1,000, the most frequent first, replayed in order over the parts' names."""
+    rules = [(r.original, r.corrected) for r in E.ranked_pairs(E.pair_counts(made(CORRECTIONS)(spark, sf_dir)), 1000).collect()]
     return E.replay(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text")), rules)
 
 
@@ -184,7 +184,7 @@ ORACLE |= {
     "a3_pair_counts": _RANK,
     "o1_top_pairs": f"SELECT * FROM ({_RANK}) q ORDER BY n DESC, original, corrected LIMIT 20",
     "o2_ranked_pairs": f"SELECT * FROM ({_RANK}) q ORDER BY n DESC, original, corrected",
-    "f31_replay": f"WITH RECURSIVE p AS (SELECT original, corrected, row_number() OVER (ORDER BY n DESC, original, corrected) AS k FROM ({_RANK}) q QUALIFY k <= 5), r AS (SELECT p_partkey AS doc_id, p_name AS text, p_name AS start, 0 AS k FROM part UNION ALL SELECT doc_id, CASE WHEN p.original <> p.corrected THEN replace(text, p.original, p.corrected) ELSE text END, start, p.k FROM r JOIN p ON p.k = r.k + 1) SELECT doc_id, text AS corrected, text <> start AS changed FROM r WHERE k = (SELECT max(k) FROM p)",
+    "f31_replay": f"WITH RECURSIVE p AS (SELECT original, corrected, row_number() OVER (ORDER BY n DESC, original, corrected) AS k FROM ({_RANK}) q QUALIFY k <= 1000), r AS (SELECT p_partkey AS doc_id, p_name AS text, p_name AS start, 0 AS k FROM part UNION ALL SELECT doc_id, CASE WHEN p.original <> p.corrected THEN replace(text, p.original, p.corrected) ELSE text END, start, p.k FROM r JOIN p ON p.k = r.k + 1) SELECT doc_id, text AS corrected, text <> start AS changed FROM r WHERE k = (SELECT max(k) FROM p)",
     "j9_token_agreement": f"WITH p AS {_PAIRS}, x AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest({_TOK('a')}) AS t FROM p) q GROUP BY ALL), y AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest({_TOK('b')}) AS t FROM p) q GROUP BY ALL), z AS (SELECT coalesce(x.id, y.id) AS id, sum(CASE WHEN x.n > 0 AND y.n > 0 THEN least(x.n, y.n) ELSE 0 END) AS shared, sum(x.n) AS a, sum(y.n) AS b FROM x FULL JOIN y ON x.id = y.id AND x.t = y.t GROUP BY 1) SELECT p.id, coalesce(CASE WHEN z.a > 0 AND z.b > 0 THEN round(shared::DOUBLE / greatest(z.a, z.b), 6) END, 0) AS agreement FROM p LEFT JOIN z ON z.id = p.id",
     "f27_word_accuracy": f"SELECT id, round(len(list_intersect(list_distinct({_WORDS('a')}), list_distinct({_WORDS('b')})))::DOUBLE / greatest(len(list_distinct({_WORDS('b')})), 1) * 100, 2) AS v FROM {_PAIRS} p",
     "a12_accuracy_summary": f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord DESC) AS r FROM ({HISTORY}) h), s AS (SELECT key, count(*) AS n, round(avg(accuracy)::DECIMAL(18,8), 2)::DOUBLE AS mean, round((avg(accuracy) FILTER (r <= 20))::DECIMAL(18,8), 2)::DOUBLE AS recent, avg(accuracy) FILTER (r <= 10) AS new, avg(accuracy) FILTER (r BETWEEN 11 AND 20) AS old FROM r GROUP BY key) SELECT key, n, mean, recent, CASE WHEN n < 10 THEN 'insufficient_data' WHEN new > (CASE WHEN n >= 20 THEN old ELSE new END) + 2 THEN 'improving' WHEN new < (CASE WHEN n >= 20 THEN old ELSE new END) - 2 THEN 'declining' ELSE 'stable' END AS trend FROM s",
