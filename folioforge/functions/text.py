@@ -130,13 +130,69 @@ def blank_safe(text: Column) -> Column:
 UNCLEAR = r"(?i)\[unclear(?::[^\]\n]*)?\]"
 
 
+#: Section instructions that ask for a truth value, a choice or a blank, whatever the case.
+ASKS_TRUTH = (
+    r"\b(?:write|mark|choose)\s+[TFYN]\b|\b(?:write|mark|choose)\s+(?:t\s*(?:or|/)\s*f|y\s*(?:or|/)\s*n)\b|सही.*गलत|हाँ.*नहीं|हां.*नहीं|అవును.*కాదు|అవునా.*కాదా|ஆம்.*இல்லை|ಹೌದು.*ಇಲ್ಲ|അതെ.*അല്ല|হ্যাঁ.*না|ਹਾਂ.*ਨਹੀਂ|ہاں.*نہیں|"
+    r"\b(?:true\s*(?:or|/|and)\s*false|true\s+false|yes\s*(?:or|/|and)\s*no|yes\s+no)\b")
+ASKS_CHOICE = r"\b(?:choose|tick|select)\b[^\n]{0,90}\b(?:correct|right|answer|option)\b|సరైన.*ఎంచుకో|சரியான.*தேர்ந்தெடு|ಸರಿಯಾದ.*ಆಯ್ಕೆ"
+ASKS_BLANK = r"खाली स्थान|रिक्त स्थान|ఖాళీ|கோடிட்ட|ಖಾಲಿ|ഒഴിഞ്ഞ|শূন্যস্থান|ਖਾਲੀ|خالی|\bfill\b[^\n]{0,90}\bblanks?\b|\bquestion\s+tags?\b"
+#: Patterns of places for a response, numbered items, and the lines that begin a section.
+PLACE = r"(?:_{2,}|\.{3,}|…|[─━—]{2,}|\(\s*\)|\[\s*\]|□|☐|\[\[(?:ANSWER_LINES|GRID|GRID_ROW|CHECKBOX|BOXED):?)"
+ITEM = r"(?:^|\n|\|\||\[\[(?:QUESTION_ROW|MATCH_ROW|TABLE_ROW):)\s*\p{Nd}+[.)।]\s*\S"
+ITEM_START, PLACE_START = r"^\s*\p{Nd}+[.)।]\s+\S", r"^\s*(?:\(\s*\)|\[\s*\]|□|☐|_{2,}|\[\[ANSWER_LINES:)"
+SECTION_HEAD = r"[^\S\n]*(?:\[\[SECTION_ROW:[^\S\n]*([^\n]*?)(?:\|\||\]\])|[IVXLCDM]+[.)][^\S\n]+([^\n]+))"
+SECTION_BREAK = r"[^\S\n]*(?:Class\s*:|\[\[PAPER_BREAK\]\])"
+
+
+def lacks_responses(text: Column) -> Column:
+    """[P8] A section that asks for responses has two numbered items or more and no place for one, or, where truth values or choices are asked, a place for some and none for others.
+
+    Of over 80,000 characters, no.
+    """
+    text = F.coalesce(text, F.lit(""))
+    sections = F.split(text, rf"(?im)(?=^(?:{SECTION_HEAD}|{SECTION_BREAK}))")
+
+    def suspect(section: Column) -> Column:
+        head = "(?i)^" + SECTION_HEAD
+        asked = F.concat(F.regexp_extract(section, head, 1), F.regexp_extract(section, head, 2))
+        uneven = asked.rlike("(?i)" + ASKS_TRUTH) | asked.rlike("(?iu)" + ASKS_CHOICE)
+        body = F.regexp_replace(section, r"^[^\n]*\n?", "")
+        several = hits(body, ITEM) >= 2
+        parts = F.flatten(F.transform(F.split(body, "\n"), lambda x: F.split(
+            F.regexp_replace(F.regexp_replace(x, r"(?i)^\s*\[\[(?:MATCH_ROW|TABLE_ROW|QUESTION_ROW):\s*", ""), r"\]\]\s*$", ""), r"\s*\|\|\s*")))
+
+        # A question is a numbered part with the places for a response that follow it.
+        def step(s: Column, part: Column) -> Column:
+            more = (F.size(s) > 0) & part.rlike(PLACE_START)
+            grown = F.concat(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.concat(F.coalesce(F.get(s, F.size(s) - 1), F.lit("")), F.lit(" "), part)))
+            return F.when(part.rlike(ITEM_START), F.concat(s, F.array(part))).when(more, grown).otherwise(s)
+
+        questions = F.aggregate(parts, F.array().cast("array<string>"), step)
+        open_ = F.size(F.filter(questions, lambda q: q.rlike(PLACE)))
+        some = uneven & (F.size(questions) >= 2) & (open_ > 0) & (open_ < F.size(questions))
+        return (uneven | asked.rlike("(?iu)" + ASKS_BLANK)) & several & (~body.rlike(PLACE) | some)
+
+    # Most texts ask for nothing: they are told by one look.
+    asks = text.rlike(f"(?iu){ASKS_TRUTH}|{ASKS_CHOICE}|{ASKS_BLANK}") & (F.length(text) <= 80_000)
+    return F.when(asks, F.exists(sections, suspect)).otherwise(False)
+
+
+def blank_stems(text: Column) -> Column:
+    """[P15] How many numbered cells say something before their blank."""
+    bare = F.regexp_replace(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\_"), F.lit("_")), r"(?i)\[\[(?:QUESTION_ROW|MATCH_ROW|TABLE_ROW|GRID_ROW):\s*", ""), r"\]\]", "")
+    bodies = F.transform(F.split(bare, r"\n|\|\|"), lambda c: F.regexp_extract(c, r"(?s)^\s*[0-9०-९]+[.)]\s*(.*)$", 1))
+    said = lambda b: F.regexp_replace(F.get(F.split(b, r"=|[-–]\s*_{2,}|_{2,}"), F.lit(0)), r"[^\p{L}\p{N}]", "") != ""
+    return F.size(F.filter(bodies, lambda b: b.rlike("_{2,}") & said(b)))
+
+
 def review_warnings(text: Column) -> Column:
-    """[P3] Kinds of visible doubt: unclear marks, replacement characters, pictures without an image."""
+    """[P3] Kinds of visible doubt: unclear marks, replacement characters, pictures without an image, sections without places for responses."""
     text = F.coalesce(text, F.lit(""))
     return F.array_compact(F.array(
         F.when(hits(text, UNCLEAR) > 0, F.concat(F.lit("unclear_source:"), hits(text, UNCLEAR).cast("string"))),
         F.when(text.contains("\ufffd"), F.lit("invalid_character")),
-        F.when(text.rlike(r"(?i)\[\[PICTURE(?:_OPTION|_ROW)?:"), F.lit("missing_source_picture"))))
+        F.when(text.rlike(r"(?i)\[\[PICTURE(?:_OPTION|_ROW)?:"), F.lit("missing_source_picture")),
+        F.when(lacks_responses(text), F.lit("missing_answer_spaces"))))
 
 
 def loses_script(first: Column, second: Column) -> Column:

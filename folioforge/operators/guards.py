@@ -212,7 +212,8 @@ def accept_second(first: Column, second: Column, meta: Column) -> Column:
     return (
         F.when((b == "") | T.degenerate(b) | invalid_markers(b) | b.rlike(NOTHING), False)
         .when(T.degenerate(a) | invalid_markers(a) | (a == "") | a.rlike(NOTHING), True)
-        .when(lost | opening, False)
+        .when(lost | opening | (~T.lacks_responses(a) & T.lacks_responses(b)), False)
+        .when(T.blank_stems(a) > T.blank_stems(b), False)
         .when(lb < F.greatest(F.lit(4.0), la * 0.68), False)
         .when(~shaped & (lb > la * 1.55) & (la > 20), False).when(shaped & (lb > la * 5.0) & (la > 20), False)
         .when((expected >= 4) & (nb < F.greatest(F.lit(2), F.floor(expected * 0.4))), False)

@@ -43,6 +43,8 @@ TEXTS = [
     "<w:p>one<w:tab/>two</w:p><w:p>a &amp; b &lt;c&gt;</w:p>\n\n\n\n<b>x</b>&nbsp;y",
     "Class: 5\nName: Asha\nName: Asna\nPlace - Delhi",
     "enti idi", "ela are you", "meeru",
+    "I. Fill in the blanks\n1. The cat\n2. The dog\nII. Read\n1. a ____", "I. Write true or false\n1. a ( )\n2. b\n3. c", "I. Write true or false\n1. a\n( )\n2. b ( )",
+    "[[SECTION_ROW: III. Choose the correct option || 5M]]\n[[MATCH_ROW: 1. a ( ) || 2. b]]", "Class: 4\nI. खाली स्थान भरो\n१. क\n२. ख", "I. Choose the right answer\n1. a",
 ]
 ROWS = [(BASE + k, t) for k, t in enumerate(TEXTS)]
 
@@ -59,4 +61,7 @@ READINGS = [
     (8, "[[FIGURE: 1,1,5,5|a]]", "[[FIGURE: 2,2,5,5|a]]", 2),
     (9, "I. Read\n१. क\n२. ख", "I. Read\n१. क\n2. ख", 3),
     (10, "", "", 1),
+    (11, "I. Fill in the blanks\n1. The cat sat on the ____\n2. The dog ran to ____", "I. Fill in the blanks\n1. The cat sat on the\n2. The dog ran to it", 2),
+    (12, "I. Do these sums now\n1. seven = ____\n2. eight = ____\n3. nine - ____", "I. Do these sums now\n1. ____ seven\n2. eight = ____\n3. nine - ____", 2),
+    (13, "I. Do these sums now\n1. seven = ____\n2. eight = ____", "I. Do these sums now\n1. seven == ____\n2. eight == ____", 2),
 ]

@@ -87,7 +87,7 @@ SCALARS = {
     "f28_readable_tokens": (texts, lambda: F.md5(T.keep_readable_tokens(F.col("text"))), TEXTS_SQL, f"md5(array_to_string(list_filter(string_split_regex(trim(text), '\\s+'), lambda x: len(x) > 0 AND {_RATIO('x')} >= 0.3), chr(10)))"),
     "p1_degenerate": (texts, lambda: T.degenerate(F.col("text")), TEXTS_SQL, r"len(text) > 30000 OR regexp_matches(text, '_{200}|\.{200}| {200}|─{200}|-{200}') OR len(list_filter(list_distinct(string_split(text, '')), lambda c: c <> '' AND NOT regexp_matches(c, '\s') AND contains(text, repeat(c, 80)))) > 0"),
     "p2_blank_safe": (texts, lambda: F.md5(T.blank_safe(F.col("text"))), TEXTS_SQL, f"md5(substring(regexp_replace(text, '_{{81,}}', '{'_' * 28}', 'g'), 1, 12000))"),
-    "p3_review_warnings": (texts, lambda: F.array_join(T.review_warnings(F.col("text")), ","), TEXTS_SQL, f"array_to_string(list_filter([CASE WHEN {_UNCLEAR} > 0 THEN 'unclear_source:' || {_UNCLEAR} END, CASE WHEN contains(text, chr(65533)) THEN 'invalid_character' END, CASE WHEN regexp_matches(text, '(?i)\\[\\[PICTURE(?:_OPTION|_ROW)?:') THEN 'missing_source_picture' END], lambda x: x IS NOT NULL), ',')"),
+    "p3_review_warnings": (texts, lambda: F.array_join(T.review_warnings(F.col("text")), ","), None, None),
     "p22_matches_script": (texts, lambda: F.concat_ws(",", *(T.matches_script(F.col("text"), F.lit(c)).cast("string") for c in ("en", "hi", "mr", "te", "ur", "zz"))), TEXTS_SQL,
                            "array_to_string([" + ", ".join([f"CAST(regexp_matches(text, '{p}') AS VARCHAR)" for p in ("[A-Za-z]", in_duck("hi"), in_duck("mr"), in_duck("te"), in_duck("ur"))] + ["'true'"]) + "], ',')"),
     "s8_strip_tags": (pages, lambda: F.md5(T.strip_tags(F.col("text"))), PAGES_SQL, f"md5({squeeze('replace(' + entities('regexp_replace(text, ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')') + ', ' + chr(39) + '&nbsp;' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ')')})"),
@@ -109,3 +109,22 @@ ORACLE["f21_parse_marks"] = f"""
     SELECT id, CASE WHEN hit THEN '{{' || n || ', ' || per || ', ' || coalesce(denom::VARCHAR, 'null') || ', ' || coalesce(printed, n * per) || ', ' || n * per || ', ' || CAST(coalesce(printed, n * per) <> n * per AS VARCHAR) || '}}' ELSE '{{null, null, null, null, null, null}}' END AS v
     FROM (SELECT id, regexp_matches(text, '{_MARKS}') AS hit, {_ONE(1)} AS n, {_ONE(2)} AS per, {_ONE(3)} AS denom, {_ONE(4)} AS printed FROM {TEXTS_SQL} t) q
 """
+
+
+def _asked(pattern: str) -> str:
+    return f"regexp_matches(ins, '(?i){pattern}')"
+
+
+#: Sections by line, questions by part, each counted.
+ORACLE["p3_review_warnings"] = f"""
+    WITH t AS (SELECT * FROM {TEXTS_SQL} t0), l AS (SELECT id, unnest(range(len(x))) AS n, unnest(x) AS line FROM (SELECT id, string_split(text, chr(10)) AS x FROM t) q),
+    h AS (SELECT *, regexp_matches(line, '(?i)^{T.SECTION_HEAD}') OR regexp_matches(line, '(?i)^{T.SECTION_BREAK}') AS head FROM l), c AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n) AS sec FROM h),
+    s AS (SELECT id, sec, coalesce(max(CASE WHEN head THEN regexp_extract(line, '(?i)^{T.SECTION_HEAD}', 1) || regexp_extract(line, '(?i)^{T.SECTION_HEAD}', 2) END), '') AS ins, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT head), '') AS body FROM c GROUP BY id, sec),
+    a AS (SELECT *, {_asked(T.ASKS_TRUTH)} OR {_asked(T.ASKS_CHOICE)} AS uneven, {_asked(T.ASKS_BLANK)} AS blank, len(regexp_extract_all(body, '{T.ITEM}')) >= 2 AS several FROM s),
+    p AS (SELECT id, sec, n, unnest(range(len(x))) AS k, unnest(x) AS part FROM (SELECT id, sec, n, string_split_regex(regexp_replace(regexp_replace(line, '(?i)^\\s*\\[\\[(?:MATCH_ROW|TABLE_ROW|QUESTION_ROW):\\s*', ''), '\\]\\]\\s*$', ''), '\\s*\\|\\|\\s*') AS x FROM c WHERE NOT head) q),
+    i AS (SELECT *, sum(CASE WHEN regexp_matches(part, '{T.ITEM_START}') THEN 1 ELSE 0 END) OVER (PARTITION BY id, sec ORDER BY n, k) AS item FROM p),
+    o AS (SELECT id, sec, item, bool_or((regexp_matches(part, '{T.ITEM_START}') OR regexp_matches(part, '{T.PLACE_START}')) AND regexp_matches(part, '{T.PLACE}')) AS open FROM i WHERE item > 0 GROUP BY id, sec, item),
+    q AS (SELECT id, sec, count(*) AS items, count_if(open) AS open FROM o GROUP BY id, sec),
+    m AS (SELECT a.id, bool_or((uneven OR blank) AND several AND (NOT regexp_matches(body, '{T.PLACE}') OR uneven AND coalesce(items >= 2 AND open > 0 AND open < items, false))) AS lacks FROM a LEFT JOIN q ON q.id = a.id AND q.sec = a.sec GROUP BY a.id)
+    SELECT t.id, array_to_string(list_filter([CASE WHEN {_UNCLEAR} > 0 THEN 'unclear_source:' || {_UNCLEAR} END, CASE WHEN contains(text, chr(65533)) THEN 'invalid_character' END,
+        CASE WHEN regexp_matches(text, '(?i)\\[\\[PICTURE(?:_OPTION|_ROW)?:') THEN 'missing_source_picture' END, CASE WHEN lacks AND len(text) <= 80000 THEN 'missing_answer_spaces' END], lambda x: x IS NOT NULL), ',') AS v FROM t LEFT JOIN m ON m.id = t.id"""

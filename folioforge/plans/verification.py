@@ -72,5 +72,5 @@ ORACLE = {
     "p12_loses_questions": f"WITH {_STRINGS} SELECT id, false AS back, NOT regexp_matches(',' || array_to_string(b, ',') || ',', ',' || array_to_string(a, ',(?:.*,)?') || ',') AS v FROM p",
     "p13_loses_marks": f"SELECT id, v FROM ({fixtures.values_sql([(1, True), (2, True), (3, False), (4, True)])}) f(id, v)",
     "p12_loses_questions_fixtures": f"SELECT id, id IN (4, 5, 9) AS v FROM {READINGS_SQL} r",
-    "p15_accept_second": f"SELECT id, v FROM ({fixtures.values_sql([(k, v) for k, v in zip(range(1, 11), (False, True, True, False, False, True, False, False, False, False))])}) f(id, v)",
+    "p15_accept_second": f"SELECT id, v FROM ({fixtures.values_sql([(k, v) for k, v in zip(range(1, 14), (False, True, True, False, False, True, False, False, False, False, False, False, True))])}) f(id, v)",
 }
