@@ -29,13 +29,32 @@ def retry_after(now: Column, reset: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.unix_micros(reset) / 1e6 - F.unix_micros(now) / 1e6)).cast("long")
 
 
+def minute_sums(rows: DataFrame, amount: str) -> DataFrame:
+    """Per day and minute of (day, minute, amount): count, sum, and before, the sum of the day's minutes before. A day has 1,440 minutes at most, so the window is small whatever the rows."""
+    sums = rows.groupBy("day", "minute").agg(F.count("*").alias("n"), F.sum(amount).alias("sum"))
+    earlier = Window.partitionBy("day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn("before", F.coalesce(F.sum("sum").over(earlier), F.lit(0).cast(sums.schema["sum"].dataType)))
+
+
+def with_running(rows: DataFrame, amount: str) -> DataFrame:
+    """Adds running: the sum of amount over the day up to each row of (day, minute, ts, event_id). Rows meet in the order of their minute only, and minutes by their sums."""
+    inside = F.sum(amount).over(Window.partitionBy("day", "minute").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    before = minute_sums(rows, amount).select("day", "minute", "before")
+    return rows.withColumn("inside", inside).join(before, ["day", "minute"]).withColumn("running", F.col("before") + F.col("inside")).drop("before", "inside")
+
+
 def daily_totals(events: DataFrame) -> DataFrame:
-    """[T1] Per UTC day of (ts, value): requests, units used up to the allowance, percentage, and the time at which the allowance was reached (T3)."""
-    running = F.sum("value").over(Window.partitionBy("day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    dated = events.where("value > 0").withColumn("day", utc_day(F.col("ts"))).withColumn("running", running)
-    return dated.groupBy("day").agg(
-        F.count("*").alias("requests"), F.round(F.least(F.lit(float(ALLOWANCE)), F.sum("value")), 2).alias("used"),
-        F.date_format(F.min(F.when(F.col("running") >= ALLOWANCE, F.col("ts"))), "yyyy-MM-dd HH:mm:ss").alias("reached_at"))
+    """[T1] Per UTC day of (ts, value): requests, units used up to the allowance, and the time at which the allowance was reached (T3).
+
+    Days are summed by minutes; only the events of the minute in which a day's sum reaches the allowance are put in order.
+    """
+    dated = events.where("value > 0").select("event_id", "ts", "value", utc_day(F.col("ts")).alias("day"), F.date_trunc("minute", "ts").alias("minute"))
+    minutes = minute_sums(dated, "value")
+    reached = minutes.where((F.col("before") < ALLOWANCE) & (F.col("before") + F.col("sum") >= ALLOWANCE)).select("day", "minute", "before")
+    inside = F.sum("value").over(Window.partitionBy("day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    when = dated.join(reached, ["day", "minute"]).withColumn("running", F.col("before") + inside).where(F.col("running") >= ALLOWANCE).groupBy("day").agg(F.min("ts").alias("at"))
+    totals = minutes.groupBy("day").agg(F.sum("n").alias("requests"), F.round(F.least(F.lit(float(ALLOWANCE)), F.sum("sum")), 2).alias("used"))
+    return totals.join(when, "day", "left").select("day", "requests", "used", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("reached_at"))
 
 
 def admitted(requests: DataFrame, cap: int = CAP) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.operators.usage import with_running
 from folioforge.session import table
 
 #: The daily allowance and the share that may be booked.
@@ -15,14 +16,14 @@ DAILY_CAP = 9_500
 def ledger_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per event: use so far that UTC day, held at the allowance, and the percentage of it (T1, W8, F34, F35).
 
-    Null or non-positive values add nothing and are left out; a day is the window's key, so days run in parallel.
+    Null or non-positive values add nothing and are left out. Events are put in order within their minute only.
     """
     events = table(spark, sf_dir, "events").where("value > 0")
     day = F.date_trunc("day", "ts")
-    running = F.sum("cents").over(Window.partitionBy("day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    cents = events.select("event_id", "ts", day.alias("day"), F.date_trunc("minute", "ts").alias("minute"), F.round(F.col("value") * 100).cast("long").alias("cents"))
     return (
-        events.select("event_id", "ts", day.alias("day"), F.round(F.col("value") * 100).cast("long").alias("cents"))
-        .withColumn("used", F.least(F.lit(DAILY_ALLOWANCE * 100), running))
+        with_running(cents, "cents")
+        .withColumn("used", F.least(F.lit(DAILY_ALLOWANCE * 100), "running"))
         .select(
             "event_id",
             F.date_format("day", "yyyy-MM-dd").alias("day"),

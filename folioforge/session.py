@@ -30,8 +30,12 @@ def build_session(app: str = "folioforge", cores: int = 8, shuffle_partitions: i
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the cluster's shared folder (spark.checkpoint.dir; one is chosen only where that is unset)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A fresh path in the cluster's shared folder (spark.checkpoint.dir; one is chosen only where that is unset and all runs in one process)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = "file:///tmp/checkpoints"
     return f"{at.rstrip('/')}/folioforge-{name}-{uuid.uuid4().hex}"
 
 
