@@ -277,9 +277,32 @@ def valid_ratio(text: Column) -> Column:
     return F.when(solid > 0, F.length(F.regexp_replace(text, r"[^\x{0900}-\x{097F}A-Za-z0-9]", "")) / solid).otherwise(0.0)
 
 
-def keep_readable_tokens(text: Column) -> Column:
-    """One token per line, those with thirty percent valid characters at least."""
-    return F.array_join(F.filter(F.split(F.trim(text), r"\s+"), lambda t: (F.length(t) > 0) & (valid_ratio(t) >= 0.3)), "\n")
+#: Marks that recognition leaves behind, and words that it misreads, in the order in which they are replaced.
+STRAY_MARKS, RULED_LINES = r"[|\\/\[\]{}<>~`^=_!@#$%&*]", "[-=_]{3,}"
+MISREAD = (
+    ("मगंल", "मंगल"),
+    ("लक्मीबाई", "लक्ष्मीबाई"),
+    ("बहादर", "बहादुर"),
+    ("स्वतन्त्रता", "स्वतंत्रता"),
+    ("क्रांती", "क्रांति"),
+    ("रेम्युले?टिं?ग", "रेग्युलेटिंग"),
+    ("रे[मँ]्युले?टिं?ग", "रेग्युलेटिंग"),
+    ("बैटिक", "बैंटिक"),
+    ("बेंटिक", "बैंटिक"),
+    ("मैकले", "मैकाले"),
+    ("चारपे?कर", "चापेकर"),
+    ("बंदुओं", "बंधुओं"),
+    ("रैड", "रैंड"),
+    ("जार्ज", "जॉर्ज"),
+)
+
+
+def readable_tokens(text: Column) -> Column:
+    """Stray marks out and misread words mended, then one token per line, those with thirty percent valid characters at least."""
+    text = F.regexp_replace(F.regexp_replace(text, STRAY_MARKS, " "), RULED_LINES, " ")
+    for seen, meant in MISREAD:
+        text = F.regexp_replace(text, seen, meant)
+    return F.array_join(F.filter(F.split(text, r"[\s\x1c-\x1f\x85\p{Z}]+"), lambda t: valid_ratio(t) >= 0.3), "\n")
 
 
 def native_roman(text: Column) -> Column:

@@ -230,6 +230,20 @@ def quantities(text: Column) -> Column:
     return F.zip_with(T.all_of(text, p, 1), T.all_of(text, p, 2), lambda k, b: F.concat(F.upper(k), F.lit(":"), F.array_join(F.slice(F.transform(F.split(b, r"\|"), lambda x: F.trim(x)), 1, 3), "|")))
 
 
+#: The kinds whose figures two readings must count alike, and the parts of such a marker: label, answer and bounds.
+_COUNTED = r"(?i)\[\[(?:COUNT_OBJECTS|ABACUS):\s*"
+_PART = r"[^\S\n]*\|[^\S\n]*([^\]\n|]*?)"
+
+
+def reconciled(text: Column, first: Column, second: Column, completed: Column) -> Column:
+    """(text, disagreement): where there is no second reading, or it counts otherwise, a counted figure becomes the
+    picture at its bounds, or [unclear] if it has none. A null reading counts nothing; a null text stays null."""
+    agreed = F.coalesce(completed, F.lit(False)) & (quantities(F.coalesce(first, F.lit(""))) == quantities(F.coalesce(second, F.lit(""))))
+    bounded = F.regexp_replace(text, rf"{_COUNTED}[^\]\n|]*{_PART}{_PART}[^\S\n]*\|[^\S\n]*([^\]\n|]*[^\]\s|])[^\S\n]*(?:\|[^\]\n]*)?\]\]", r"[[FIGURE: $3|$1|$2]]")
+    plain = F.regexp_replace(bounded, rf"{_COUNTED}[^\]\n]+\]\]", "[unclear]")
+    return F.struct(F.when(agreed, text).otherwise(plain).alias("text"), (~agreed).alias("disagreement"))
+
+
 def clean_hints(hints: Column) -> Column:
     """[P19] Of the first twenty hints (wrong, right, count) the usable ones, trimmed, counts held to 1..99, twelve at most."""
     trimmed = F.transform(F.slice(hints, 1, 20), lambda h: F.struct(T.js_trim(h["wrong"]).alias("wrong"), T.js_trim(h["right"]).alias("right"), F.greatest(F.lit(1), F.least(F.lit(99), F.coalesce(h["count"], F.lit(1)))).alias("count")))

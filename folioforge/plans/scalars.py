@@ -74,6 +74,17 @@ _WIDTHS = lambda t: (f"list_transform(list_zip(regexp_extract_all({t}, '{_FIG}',
 _LATIN = "list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: lower(w))"
 _KNOWN, _TELUGU = (fixtures.sql_value(list(x)) for x in (T.TELUGU_WORDS, T.TELUGU_WORDS.values()))
 
+#: What recognition makes of a word, after every text one of them, between marks.
+_SEEN = ["मगंल पांडे", "झांसी की रानी लक्मीबाई", "बहादर शाह", "स्वतन्त्रता|क्रांती", "रेम्युलटिग रेँ्युलेटिंग एक्ट", "बैटिक, बेंटिक", "मैकले चारपकर चारपेकर", "बंदुओं", "रैड जार्ज", "--- ?? -=- a1"]
+_MENDED = f"regexp_replace(regexp_replace(text || ' [' || {fixtures.sql_value(_SEEN)}[id % {len(_SEEN)} + 1] || ']', '{T.STRAY_MARKS}', ' ', 'g'), '{T.RULED_LINES}', ' ', 'g')"
+for _from, _to in T.MISREAD:
+    _MENDED = f"regexp_replace({_MENDED}, '{_from}', '{_to}', 'g')"
+
+
+def _with_misread():
+    return F.concat("text", F.lit(" ["), F.get(F.array(*map(F.lit, _SEEN)), (F.col("id") % len(_SEEN)).cast("int")), F.lit("]"))
+
+
 #: name: (input, makes the Spark column, DuckDB input, DuckDB expression or None)
 SCALARS = {
     "f1_detect_language": (texts, lambda: T.detect_language(F.col("text")), TEXTS_SQL, _LANG),
@@ -84,7 +95,7 @@ SCALARS = {
     "f30_native_roman": (texts, lambda: T.native_roman(F.col("text")), TEXTS_SQL, f"CASE WHEN len({_LATIN}) > 0 AND len(list_filter({_LATIN}, lambda w: NOT list_contains({_KNOWN}, w))) = 0 THEN array_to_string(list_transform({_LATIN}, lambda w: {_TELUGU}[list_position({_KNOWN}, w)]), ' ') ELSE '' END"),
     "f39_squeeze": (texts, lambda: F.md5(T.squeeze(F.col("text"))), TEXTS_SQL, f"md5({squeeze('text')})"),
     "f41_valid_ratio": (texts, lambda: F.round(T.valid_ratio(F.col("text")), 6), TEXTS_SQL, f"round({_RATIO('text')}, 6)"),
-    "f28_readable_tokens": (texts, lambda: F.md5(T.keep_readable_tokens(F.col("text"))), TEXTS_SQL, f"md5(array_to_string(list_filter(string_split_regex(trim(text), '\\s+'), lambda x: len(x) > 0 AND {_RATIO('x')} >= 0.3), chr(10)))"),
+    "f28_readable_tokens": (texts, lambda: F.md5(T.readable_tokens(_with_misread())), TEXTS_SQL, f"md5(array_to_string(list_filter(string_split_regex({_MENDED}, '{DWS}+'), lambda x: len(x) > 0 AND {_RATIO('x')} >= 0.3), chr(10)))"),
     "p1_degenerate": (texts, lambda: T.degenerate(F.col("text")), TEXTS_SQL, r"len(text) > 30000 OR regexp_matches(text, '_{200}|\.{200}| {200}|─{200}|-{200}') OR len(list_filter(list_distinct(string_split(text, '')), lambda c: c <> '' AND NOT regexp_matches(c, '\s') AND contains(text, repeat(c, 80)))) > 0"),
     "p2_blank_safe": (texts, lambda: F.md5(T.blank_safe(F.col("text"))), TEXTS_SQL, f"md5(substring(regexp_replace(text, '_{{81,}}', '{'_' * 28}', 'g'), 1, 12000))"),
     "p3_review_warnings": (texts, lambda: F.array_join(T.review_warnings(F.col("text")), ","), None, None),

@@ -32,6 +32,16 @@ META = "structuredLayout boolean, multiColumnRows int, denseOptionRows int, long
 NO_META = (False, 0, 0, 0, 0, 0, None, None, 0.0, 0.0, 0.0, 2)
 
 
+#: Papers with counted figures, with and without bounds, by order: what is shown, and two readings of it.
+_COUNTED = lambda n: ("'Count' || chr(10) || '1. [[COUNT_OBJECTS: apple,' || CAST(" + n + " AS VARCHAR(9)) || ' | 1. |box' || CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '| ' ELSE ' | 1,1,5,' || CAST(o_custkey % 9 AS VARCHAR(9)) || ' ' END || ']] or "
+                      "[[abacus:T=1,O=' || CAST(o_custkey % 5 AS VARCHAR(9)) || '|2)|none|7,7,9,9' || CASE WHEN o_orderkey % 2 = 0 THEN '|more' ELSE '' END || ']]' || chr(10) || '[[FIGURE: 1,1,2,2|x]]'")
+COUNTED = f"SELECT o_orderkey AS id, {_COUNTED('o_custkey % 7')} AS a, {_COUNTED('o_custkey % 7 + CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END')} AS b, o_orderkey % 11 <> 0 AS completed FROM orders"
+
+
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(COUNTED.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+
+
 def fixture(data, schema, value):
     return lambda s, _: fixtures.frame(s, data, schema).select("id", value().alias("v"))
 
@@ -58,12 +68,23 @@ QUERIES = {
     "p13_loses_marks": fixture(MARKED, "id int, a string, b string", lambda: G.loses_marks(F.col("a"), F.col("b"))),
     "p14_should_verify": verify_rows,
     "p15_accept_second": accept_rows,
-    "f24_quantities": fixture(MARKERS, "id int, t string", lambda: F.array_join(G.quantities(F.col("t")), ";;")),
+    "f24_quantities": lambda s, d: counted(s, d).select("id", F.array_join(G.quantities(F.col("b")), ";;").alias("v")),
+    "f24_reconciled": lambda s, d: counted(s, d).select("id", G.reconciled(F.col("a"), F.col("a"), F.col("b"), F.col("completed")).alias("r")).select("id", "r.*"),
     "p19_clean_hints": lambda s, d: s.createDataFrame([(1, [(" a ", "b", 500), ("x", "x", 1), ("", "q", 1)]), (2, [("<b>", "c", 1), ("d", "e", None)])], "id int, h array<struct<wrong: string, right: string, count: int>>").select("id", F.to_json(G.clean_hints(F.col("h"))).alias("v")),
     "p20_clean_views": lambda s, d: s.createDataFrame([(1, [(2_000_000, 0, 0, 10, 10), (2_000_000, 0, 0, 10, 10), (2_000_000, 0, 0, 10, 10), (10, 0, 0, 10, 10)]), (2, [(10, 0, 0, 2000, 1), (10, 5, 5, 5, 5)])], "id int, h array<struct<size: long, x: int, y: int, w: int, h: int>>").select("id", G.clean_views(F.col("h")).alias("v")),
 }
+#: A marker's parts, trimmed; the texts between the markers, and what stands for each where the readings differ.
+_MARKER = r"(?i)\[\[(COUNT_OBJECTS|ABACUS):\s*([^\]\n]+)\]\]"
+_BODIES = lambda t: f"list_transform(regexp_extract_all({t}, '{_MARKER}', 2), lambda x: list_transform(string_split(x, '|'), lambda y: trim(y)))"
+_COUNTS = lambda t: f"array_to_string(list_transform(list_zip(regexp_extract_all({t}, '{_MARKER}', 1), {_BODIES(t)}), lambda z: upper(z[1]) || ':' || array_to_string(z[2][1:3], '|')), ';;')"
 _BAD = {2, 3, 4, 7, 8, 9, 11, 13, 15, 18}
 ORACLE = {
+    "f24_quantities": f"SELECT id, {_COUNTS('b')} AS v FROM ({COUNTED}) t",
+    "f24_reconciled": f"""
+        WITH t AS (SELECT *, NOT (completed AND {_COUNTS('a')} = {_COUNTS('b')}) AS disagreement FROM ({COUNTED}) t0),
+        g AS (SELECT *, string_split_regex(a, '{_MARKER}') AS gaps, list_transform({_BODIES('a')}, lambda z: CASE WHEN coalesce(z[4], '') <> '' THEN '[[FIGURE: ' || z[4] || '|' || z[2] || '|' || z[3] || ']]' ELSE '[unclear]' END) AS parts FROM t)
+        SELECT id, CASE WHEN disagreement THEN array_to_string(list_transform(list_zip(gaps, parts), lambda z: z[1] || coalesce(z[2], '')), '') ELSE a END AS text, disagreement FROM g""",
+    "p19_clean_hints": """SELECT * FROM (VALUES (1, '[{"wrong":"a","right":"b","count":99}]'), (2, '[{"wrong":"d","right":"e","count":1}]')) f(id, v)""",
     "p6_verified_crops": "SELECT * FROM (VALUES (1, 'a [[FIGURE: 9,9,8,8|A]] b [[FIGURE_ROW: 7,7,8,8|B || 6,6,8,8|C]]'), (2, '[[FIGURE: 1,1,5,5|A]]'), (3, 'no figure')) f(id, v)",
     "p14_should_verify": "SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, false), (4, false), (5, true), (6, true), (100, true), (101, true)) f(id, v)",
     "p20_clean_views": "SELECT * FROM (VALUES (1, [0, 1]), (2, [1])) f(id, v)",

@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from folioforge.operators.corpus import natural_format
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-#: Bytes that one member of an archive may unpack to.
-MOST_UNPACKED = 64 << 20
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -35,10 +33,10 @@ def text_files(table: DataFrame) -> DataFrame:
     return table.where("format = 'text'").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
-def members(content: bytes) -> dict[str, bytes]:
-    """[S7, N18] The members of a zip archive by name, stored or deflated; those beyond the bound are left out."""
+def members(content: bytes, wanted: str = "") -> dict[str, bytes]:
+    """[S7, N18] The members of a zip archive by name, stored or deflated, whole; only names that match wanted from their start are unpacked."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        return {i.filename: z.read(i) for i in z.infolist() if not i.is_dir() and i.file_size <= MOST_UNPACKED}
+        return {i.filename: z.read(i) for i in z.infolist() if not i.is_dir() and re.match(wanted, i.filename)}
 
 
 def _decode(data: bytes) -> str:
@@ -62,7 +60,7 @@ def _number(name: str) -> int:
 def office_text(content: bytes) -> str:
     """[S5, O3] Text of docx (body, then headers, footers and notes), pptx (slides by number) and open documents."""
     try:
-        parts = members(content)
+        parts = members(content, r"word/[^/]+\.xml|ppt/slides/[^/]+\.xml|content\.xml")
     except zipfile.BadZipFile:
         found = "\n".join(m.decode("ascii") for m in re.findall(rb"[\x20-\x7e]{4,}", content))
         if len(found) < 3:
@@ -75,7 +73,7 @@ def office_text(content: bytes) -> str:
 
 def sheet_text(content: bytes) -> str:
     """[S6] Shared strings of a workbook, or the text of its first sheet."""
-    parts = members(content)
+    parts = members(content, r"xl/(?:sharedStrings|worksheets/sheet1)\.xml|content\.xml")
     name = next((n for n in ("xl/sharedStrings.xml", "xl/worksheets/sheet1.xml", "content.xml") if n in parts), None)
     return re.sub(r"\s+", " ", re.sub("<[^>]+>", " ", _decode(parts[name]))).strip() if name else ""
 
@@ -97,7 +95,7 @@ def pdf_text(content: bytes) -> str:
     out: list[str] = []
     for m in re.finditer(rb"stream\r?\n(.*?)\r?\n?endstream", content, re.S):
         try:
-            data = zlib.decompressobj().decompress(m[1], MOST_UNPACKED)
+            data = zlib.decompressobj().decompress(m[1])
         except zlib.error:
             data = m[1]
         for block in re.findall(r"BT(.*?)ET", data.decode("latin1"), re.S):
@@ -135,7 +133,7 @@ def docx_rows(content: bytes) -> list[tuple[int, str, str, bool]]:
 
     A kept-with-next centred paragraph is a title, another kept-with-next one a section; a two-cell table row is a MATCH_ROW.
     """
-    body = ElementTree.fromstring(members(content)["word/document.xml"]).find(f"{W}body")
+    body = ElementTree.fromstring(members(content, "word/document.xml")["word/document.xml"]).find(f"{W}body")
     out: list[tuple[int, str, str, bool]] = []
     said = lambda e: "".join(t.text or "" for t in e.iter(f"{W}t"))
     for e in body if body is not None else []:
@@ -173,7 +171,7 @@ def word_blocks(table: DataFrame) -> DataFrame:
 def check_package(content: bytes) -> list[str]:
     """[P28] What a Word package lacks: parts, an A4 page, margins, relationships."""
     try:
-        parts = members(content)
+        parts = members(content, r"\[Content_Types\]\.xml|word/document\.xml|_rels/")
     except zipfile.BadZipFile:
         return ["not an archive"]
     found = [f"missing {n}" for n in ("[Content_Types].xml", "word/document.xml", "_rels/.rels") if n not in parts]
