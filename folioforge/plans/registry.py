@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioforge.plans import layouts, ledger, papers, records, scalars, texts, verification
+from folioforge.plans import layouts, ledger, papers, readers, records, scalars, texts, verification
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (ledger, scalars, papers, records, verification, texts, layouts):
+for _part in (ledger, scalars, papers, records, verification, texts, layouts, readers):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE

@@ -183,3 +183,13 @@ def check_package(content: bytes) -> list[str]:
         if margin is None:
             found.append("no margins")
     return found
+
+
+def checked_packages(table: DataFrame) -> DataFrame:
+    """[P28] path and, joined by semicolons, what each Word file lacks; empty if nothing. A null content is no archive."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lacks = ["; ".join(check_package(c or b"")) for c in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(lacks, pa.string())], ["path", "lacks"])
+
+    return table.where(F.col("path").endswith(".docx")).select("path", "content").mapInArrow(run, "path string, lacks string")
