@@ -327,7 +327,7 @@ def matches_script(text: Column, language: Column) -> Column:
 def matches_context(text: Column, source: Column, context: Column) -> Column:
     """[P23] Every letter is in a script that source or context shows, or is a letter of source."""
     evidence = F.concat_ws(" ", source, context)
-    letters = all_of(text, r"\p{L}")
+    letters = F.array_distinct(all_of(text, r"\p{L}"))
     ranges = [r"[A-Za-z\x{00C0}-\x{024F}]", *(in_range(c) for c in LANGUAGE_RANGES)]
 
     def fits(letter: Column) -> Column:

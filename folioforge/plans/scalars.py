@@ -15,7 +15,17 @@ from folioforge.session import table
 DWS = r"[\s\x{000B}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 TEXTS_SQL = f"(SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM ({fixtures.values_sql(fixtures.ROWS)}) f(id, text))"
 PAGES_SQL = f"(SELECT page_id AS id, html AS text FROM pages UNION ALL SELECT * FROM ({fixtures.values_sql(fixtures.ROWS)}) f(id, text))"
-READINGS_SQL = f"(SELECT * FROM ({fixtures.values_sql(fixtures.READINGS)}) f(id, a, b, page))"
+FIXED_READINGS_SQL = f"(SELECT * FROM ({fixtures.values_sql(fixtures.READINGS)}) f(id, a, b, page))"
+#: For every line item a reading in native script, with sections, with figures or with numbers, and a second one that keeps it, miscounts,
+#: adds words, is in another language or loses a section or a row. Both engines read this SQL.
+_FIRST = f"""SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey, CASE l_suppkey % 4 WHEN 0 THEN '{fixtures.NATIVE} ' || CAST(l_linenumber AS VARCHAR(9))
+    WHEN 1 THEN 'I. Read' || chr(10) || '1. a' || chr(10) || 'II. Write' || chr(10) || CAST(l_linenumber AS VARCHAR(9)) || '. b'
+    WHEN 2 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'I. Read' ELSE 'V. Draw' END || chr(10) || '[[QUESTION_ROW: 1. c || 2M]]' || chr(10) || 'II. Write' || chr(10) || '[[FIGURE_ROW: 1,1,5,5|a || 9,9,5,5|b]]'
+    ELSE 'Add 12.5 and $x^2$ to ' || CAST(l_orderkey AS VARCHAR(20)) || ' = ____ ( ) × 3' END AS a, CAST(l_linenumber % 2 + 1 AS INT) AS page FROM lineitem"""
+PAIRS = f"""SELECT id, a, CASE l_partkey % 6 WHEN 0 THEN a WHEN 1 THEN replace(a, '1', '2') WHEN 2 THEN a || ' with more words' WHEN 3 THEN 'This is a long sentence in another language'
+    WHEN 4 THEN replace(replace(a, 'II. Write', 'Write'), '[[FIGURE_ROW: 1,1,5,5|a || 9,9,5,5|b]]', '[[FIGURE: 1,1,5,5|a]]') ELSE replace(replace(a, ' x', ' y'), ' = ', ' + ') END AS b, page FROM ({_FIRST}) q
+    UNION ALL SELECT doc_id, text, replace(replace(text, 'the', 'THE'), ', ', ' 5 '), 1 FROM documents"""
+READINGS_SQL = f"(SELECT * FROM {FIXED_READINGS_SQL} f0 UNION ALL {PAIRS})"
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +36,16 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")).unionAll(fixtures.frame(spark, fixtures.ROWS, "id long, text string"))
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixture pairs, and each document against its text with every eleventh letter group changed."""
+def fixed_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.frame(spark, fixtures.READINGS, "id long, a string, b string, page int")
 
 
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The literal pairs, two readings for every line item, and every document against its text with some words and commas changed."""
+    views = {n: table(spark, sf_dir, n) for n in ("lineitem", "documents")}
+    return fixed_readings(spark, sf_dir).unionAll(spark.sql(PAIRS.replace("FROM lineitem", "FROM {lineitem}").replace("FROM documents", "FROM {documents}"), **views))
+
+
 def scalar(source, value: Callable[[], Column]):
     return lambda spark, sf_dir: source(spark, sf_dir).select("id", value().alias("v"))
 
@@ -111,7 +126,7 @@ SCALARS = {
     "p24_keeps_numbers": (readings, lambda: T.keeps_numbers(F.col("a"), F.col("b")), READINGS_SQL, " AND ".join(f"regexp_extract_all(a, '{p}') = regexp_extract_all(b, '{p}')" for p in (r"[\p{N}]+(?:[.,][\p{N}]+)*", r"\$[^$]+\$", r"_{2,}|\.{3,}|…+|\(\s*\)", "[+×÷=^_≤≥≠∑∫√−/]"))),
     "p25_within_selection": (readings, lambda: T.within_selection(F.col("a"), F.col("b")), READINGS_SQL, "len(regexp_extract_all(b, '[\\p{L}\\p{M}\\p{N}]+')) <= len(regexp_extract_all(a, '[\\p{L}\\p{M}\\p{N}]+')) + greatest(2, ceil(len(regexp_extract_all(a, '[\\p{L}\\p{M}\\p{N}]+')) * 0.2))"),
     "p23_matches_context": (readings, lambda: T.matches_context(F.col("b"), F.col("a"), F.lit("ab")), READINGS_SQL,
-                            "len(regexp_extract_all(b, '\\p{L}')) > 0 AND len(list_filter(regexp_extract_all(b, '\\p{L}'), lambda x: NOT (contains(a, x) OR " + " OR ".join(f"(regexp_matches(x, '{r}') AND regexp_matches(a || ' ab', '{r}'))" for r in (r"[A-Za-z\x{00C0}-\x{024F}]", *(in_duck(c) for c in T.LANGUAGE_RANGES))) + "))) = 0"),
+                            "len(regexp_extract_all(b, '\\p{L}')) > 0 AND len(list_filter(list_distinct(regexp_extract_all(b, '\\p{L}')), lambda x: NOT (contains(a, x) OR " + " OR ".join(f"(regexp_matches(x, '{r}') AND regexp_matches(a || ' ab', '{r}'))" for r in (r"[A-Za-z\x{00C0}-\x{024F}]", *(in_duck(c) for c in T.LANGUAGE_RANGES))) + "))) = 0"),
 }
 
 QUERIES = {name: scalar(source, value) for name, (source, value, _, _) in SCALARS.items()}

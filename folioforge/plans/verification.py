@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.operators import guards as G
 from folioforge.plans import fixtures
-from folioforge.plans.scalars import READINGS_SQL, readings
+from folioforge.plans.scalars import FIXED_READINGS_SQL, fixed_readings
 from folioforge.session import table
 
 #: Papers: label sequences per order; the second reading drops, repeats or swaps by key.
@@ -64,7 +64,7 @@ QUERIES = {
     "p6_verified_crops": fixture(CROPS, "id int, a string, b string", lambda: G.verified_crops(F.col("a"), F.col("b"))),
     "p11_question_inventory": lambda s, d: paper_readings(s, d).select("id", F.array_join(F.transform(G.question_inventory(F.col("b")), lambda x: F.concat(x["bit"], F.lit(":"), x["item"])), ",").alias("v")),
     "p12_loses_questions": lambda s, d: paper_readings(s, d).select("id", G.loses_questions(F.col("b"), F.col("a")).alias("back"), G.loses_questions(F.col("a"), F.col("b")).alias("v")),
-    "p12_loses_questions_fixtures": lambda s, d: readings(s, d).select("id", G.loses_questions(F.col("a"), F.col("b")).alias("v")),
+    "p12_loses_questions_fixtures": lambda s, d: fixed_readings(s, d).select("id", G.loses_questions(F.col("a"), F.col("b")).alias("v")),
     "p13_loses_marks": fixture(MARKED, "id int, a string, b string", lambda: G.loses_marks(F.col("a"), F.col("b"))),
     "p14_should_verify": verify_rows,
     "p15_accept_second": accept_rows,
@@ -92,6 +92,6 @@ ORACLE = {
     "p11_question_inventory": f"WITH {_STRINGS} SELECT id, array_to_string(list_transform(b, lambda x: 'I:' || x), ',') AS v FROM p",
     "p12_loses_questions": f"WITH {_STRINGS} SELECT id, false AS back, NOT regexp_matches(',' || array_to_string(b, ',') || ',', ',' || array_to_string(a, ',(?:.*,)?') || ',') AS v FROM p",
     "p13_loses_marks": f"SELECT id, v FROM ({fixtures.values_sql([(1, True), (2, True), (3, False), (4, True)])}) f(id, v)",
-    "p12_loses_questions_fixtures": f"SELECT id, id IN (4, 5, 9) AS v FROM {READINGS_SQL} r",
+    "p12_loses_questions_fixtures": f"SELECT id, id IN (4, 5, 9) AS v FROM {FIXED_READINGS_SQL} r",
     "p15_accept_second": f"SELECT id, v FROM ({fixtures.values_sql([(k, v) for k, v in zip(range(1, 14), (False, True, True, False, False, True, False, False, False, False, False, False, True))])}) f(id, v)",
 }
