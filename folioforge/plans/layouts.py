@@ -109,4 +109,15 @@ ORACLE |= {
     "f20_section_ordinal": f"SELECT doc_id, line_no, list_position(['I','II','III','IV','V','VI','VII'], regexp_extract(line, '^([IVX]+)\\.', 1)) AS v FROM {LINES_SQL} l WHERE regexp_extract(line, '^([IVX]+)\\.', 1) <> ''",
     "m25_renamed_media": "SELECT 1 AS id, 'm1 [[SOURCE_FIGURE: n9]] m1 [[SOURCE_FIGURE_ROW: n9 || m2]]' AS v",
     "m11_captions": "SELECT id, v FROM (VALUES (1, '3) What do you see here'), (2, '[[FIGURE: 1,1,2,2|cat]]')) f(id, v)",
+    "f23_regions": f"""
+        WITH t AS (SELECT doc_id, line_no, trim(line) AS x FROM {LINES_SQL} l WHERE trim(line) <> ''),
+        k AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(x, '(?i)^\\[\\[(?:GRID|GRID_ROW|TABLE_ROW)') THEN 'grid' WHEN x ILIKE '[[MATCH_ROW%' THEN 'matching'
+            WHEN len(x) <= 90 AND regexp_matches(x, '(?i)\\b(?:school|vidyalaya|examination|assessment)\\b') THEN 'header'
+            WHEN regexp_matches(x, '(?i)^(?:name|class|roll|date|subject|time|marks)\\b[^:]{{0,20}}:') THEN 'field'
+            WHEN x ILIKE '[[SECTION_ROW:%' OR regexp_matches(x, '^[IVXivx]{{1,6}}[.)]\\s+\\S') THEN 'section' WHEN len(x) <= 20 AND regexp_matches(x, '{T.MARKS}') THEN 'marks'
+            WHEN contains(x, '___') OR regexp_matches(x, '\\(\\s*\\)') THEN 'fill_blank' WHEN regexp_matches(x, '^(?:[0-9०-९]+|[a-z])[.)]\\s*\\S') THEN 'question'
+            WHEN contains(x, '||') THEN 'two_column' ELSE 'paragraph' END AS kind FROM t),
+        s AS (SELECT *, kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS starts FROM k),
+        r AS (SELECT *, CAST(sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS region FROM s)
+        SELECT doc_id, region, min(kind) AS kind, min(line_no) AS first_line, count(*) AS n_lines FROM r GROUP BY doc_id, region""",
 }

@@ -39,6 +39,12 @@ SHORT_SQL = NUMBERED.format("""
     UNION ALL SELECT l_orderkey, l_linenumber * 10 + 1, CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' xy' ELSE '12' END FROM lineitem
     UNION ALL SELECT l_orderkey, l_linenumber * 10 + 2, CASE WHEN l_suppkey % 7 = 0 THEN 'क' WHEN l_suppkey % 7 = 1 THEN '[[x' WHEN l_suppkey % 7 = 2 THEN '7' ELSE 'q' || CAST(l_linenumber AS VARCHAR(9)) END FROM lineitem
 """)
+#: Lines of one character, as a grid read letter by letter, with blank and longer ones among them.
+LETTERS_SQL = NUMBERED.format("""
+    SELECT l_orderkey AS doc_id, l_linenumber * 10 AS place, CASE WHEN l_partkey % 11 = 0 THEN 'a longer line' ELSE CAST(l_linenumber AS VARCHAR(9)) END AS line FROM lineitem
+    UNION ALL SELECT l_orderkey, l_linenumber * 10 + 1, CASE WHEN l_suppkey % 13 = 0 THEN '' ELSE ' z ' END FROM lineitem
+    UNION ALL SELECT l_orderkey, l_linenumber * 10 + 2, 'क' FROM lineitem
+""")
 DOC_LINES_SQL = r"(SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split_regex(text, '\r?\n') AS l FROM documents))"
 
 
@@ -53,8 +59,8 @@ def lines_from(sql: str):
 paper_lines = lines_from(LINES_SQL)
 
 
-def paper_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = paper_lines(spark, sf_dir)
+def paper_docs(spark: SparkSession, sf_dir: str, lines=paper_lines) -> DataFrame:
+    rows = lines(spark, sf_dir)
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 

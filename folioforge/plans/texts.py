@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.operators import markers as M
-from folioforge.plans.papers import LINES_SQL, blocks_cte, paper_blocks, paper_docs
+from folioforge.plans.papers import LETTERS_SQL, LINES_SQL, blocks_cte, lines_from, paper_blocks, paper_docs
 from folioforge.session import scratch, table
 from folioforge.sources import binary, sinks
 from folioforge.streaming import usage
@@ -54,7 +54,7 @@ QUERIES = {
     "f18_normalise": ruled(M.normalise),
     "f10_clean": ruled(M.clean),
     "f6_plain": ruled(M.plain),
-    "w12_grid_cells": ruled(M.grid_cells),
+    "w12_grid_cells": lambda s, d: paper_docs(s, d, lines_from(LETTERS_SQL)).select("doc_id", F.md5(M.over_texts(M.grid_cells)("text")).alias("v")),
     "w13_headers": ruled(M.without_repeated_headers),
     "f8_protect_restore": lambda s, d: table(s, d, "documents").select("doc_id", (M.over_texts(lambda t: M.restore(*M.protect(t)))("text") == F.col("text")).alias("v")),
     "k2_word_round_trip": rendered,
@@ -73,6 +73,10 @@ ORACLE = {
               UNION ALL SELECT e.day, e.k, e.event_id, {_STEP.format(used='r.used', booked='r.booked', requests='r.requests')} FROM r JOIN e ON e.day = r.day AND e.k = r.k + 1)
         SELECT day, event_id, allowed, used, booked, CAST(requests AS BIGINT) AS requests, false AS exhausted FROM r""",
     "k2_word_round_trip": f"WITH {blocks_cte(LINES_SQL)} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS INT) AS ord, text FROM b WHERE kind <> 'pagebreak'",
+    "w12_grid_cells": f"""WITH l AS (SELECT *, len(trim(line)) = 1 AS one FROM {LETTERS_SQL} t),
+        r AS (SELECT *, CASE WHEN one THEN line_no - row_number() OVER (PARTITION BY doc_id, one ORDER BY line_no) ELSE line_no + 1000000 END AS run FROM l),
+        g AS (SELECT doc_id, min(line_no) AS first_line, CASE WHEN bool_and(one) AND count(*) >= 8 THEN '[[GRID_ROW: ' || string_agg(trim(line), ' || ' ORDER BY line_no) || ']]' ELSE string_agg(line, chr(10) ORDER BY line_no) END AS said FROM r GROUP BY doc_id, run)
+        SELECT doc_id, md5(string_agg(said, chr(10) ORDER BY first_line)) AS v FROM g GROUP BY doc_id""",
     "f8_protect_restore": "SELECT doc_id, true AS v FROM documents",
 }
 ORACLE["t2_ledger_stream"] = ORACLE["t2_ledger"]
