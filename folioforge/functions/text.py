@@ -305,6 +305,13 @@ def readable_tokens(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, r"[\s\x1c-\x1f\x85\p{Z}]+"), lambda t: valid_ratio(t) >= 0.3), "\n")
 
 
+def dictionary_check(word: Column) -> Column:
+    """The dictionary is empty on purpose, for transcription is literal: a word is known if it isn't blank, always valid, and has no
+    correction; a null word is not known."""
+    return F.struct(F.coalesce(F.length(js_trim(word)) > 0, F.lit(False)).alias("known"), F.lit(True).alias("is_valid"), F.lit(None).cast("string").alias("suggested_correction"),
+                    F.lit("literal_transcription_mode").alias("reason"))
+
+
 def native_roman(text: Column) -> Column:
     """Telugu for words of the lexicon; empty if any Latin word isn't in it, or there is none."""
     table = F.create_map(*[F.lit(x) for pair in TELUGU_WORDS.items() for x in pair])

@@ -51,7 +51,8 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p8_missing_responses": by_lines(RESPONSES, P.missing_responses),
     "m2_identity": lambda s, _: P.identity(fixtures.frame(s, IDENTITIES, "doc_id long, text string")),
-    "m5_section_heading": rows(HEADS, lambda: F.to_json(P.section_heading(F.col("text")))),
+    "m5_section_heading": lambda s, d: paper_lines(s, d).select("doc_id", "line_no", P.section_heading(F.col("line")).alias("h")).where("h IS NOT NULL").select("doc_id", "line_no", "h.*"),
+    "m5_section_heading_fixtures": rows(HEADS, lambda: F.to_json(P.section_heading(F.col("text")))),
     "m6_text_layer": rows(LAYERS, lambda: P.text_layer_reliable(F.col("text"))),
     "m7_automatic_format": lambda s, d: P.automatic_format(fixtures.frame(s, FORMATS, "doc_id long, text string")),
     "m8_repair_antonyms": by_lines(ANTONYMS, P.repair_antonyms),
@@ -81,6 +82,7 @@ QUERIES = {
     "f12_markup": rows([(1, "<table><tr><td>a</td><th>b</th></tr></table>"), (2, "<table>x</table>")], lambda: M.over_texts(M.recognised_markup)("text")),
 }
 _EXPECTED = {
+    "m5_section_heading_fixtures": [(1, '{"ordinal":1,"instruction":"Answer these","marks":"5x2=10 M"}'), (2, '{"ordinal":4,"instruction":"Write","marks":"3½M"}'), (3, None), (4, None), (5, '{"ordinal":2,"instruction":"Read","marks":"५ अंक"}'), (6, None)],
     "f19_field_labels": [(1, "class,subject"), (2, "class,subject"), (3, ""), (4, "class,subject")],
     "f7_branches": [(1, "     ↗ a ───────── x\n○ R → b\nz")],
     "f11_canonical_rows": [(1, "1. a"), (2, "[[QUESTION_ROW: 1. a || 3M]]"), (3, "a b")],
@@ -109,6 +111,11 @@ ORACLE |= {
     "f20_section_ordinal": f"SELECT doc_id, line_no, list_position(['I','II','III','IV','V','VI','VII'], regexp_extract(line, '^([IVX]+)\\.', 1)) AS v FROM {LINES_SQL} l WHERE regexp_extract(line, '^([IVX]+)\\.', 1) <> ''",
     "m25_renamed_media": "SELECT 1 AS id, 'm1 [[SOURCE_FIGURE: n9]] m1 [[SOURCE_FIGURE_ROW: n9 || m2]]' AS v",
     "m11_captions": "SELECT id, v FROM (VALUES (1, '3) What do you see here'), (2, '[[FIGURE: 1,1,2,2|cat]]')) f(id, v)",
+    "m5_section_heading": f"""
+        WITH x AS (SELECT doc_id, line_no, regexp_replace(line, '^\\[\\[SECTION_ROW: (.*)\\]\\]$', '\\1') AS x FROM {LINES_SQL} l WHERE regexp_matches(line, '^(\\[\\[SECTION_ROW: )?[IVX]+\\. ')),
+        p AS (SELECT doc_id, line_no, split_part(split_part(x, ' || ', 1), '. ', 1) AS label, regexp_replace(split_part(x, ' || ', 1), '^[IVX]+\\. ', '') AS said, split_part(x, ' || ', 2) AS cell FROM x)
+        SELECT doc_id, line_no, list_position(['I', 'II', 'III', 'IV', 'V', 'VI', 'VII'], label) AS ordinal, regexp_replace(said, ' [0-9]+x[0-9]+=[0-9]+ ?(M|Marks?)$', '') AS instruction,
+            CASE WHEN cell <> '' THEN cell ELSE nullif(regexp_extract(said, ' ([0-9]+x[0-9]+=[0-9]+ ?(?:M|Marks?))$', 1), '') END AS marks FROM p""",
     "f23_regions": f"""
         WITH t AS (SELECT doc_id, line_no, trim(line) AS x FROM {LINES_SQL} l WHERE trim(line) <> ''),
         k AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(x, '(?i)^\\[\\[(?:GRID|GRID_ROW|TABLE_ROW)') THEN 'grid' WHEN x ILIKE '[[MATCH_ROW%' THEN 'matching'

@@ -111,6 +111,8 @@ SCALARS = {
     "f39_squeeze": (texts, lambda: F.md5(T.squeeze(F.col("text"))), TEXTS_SQL, f"md5({squeeze('text')})"),
     "f41_valid_ratio": (texts, lambda: F.round(T.valid_ratio(F.col("text")), 6), TEXTS_SQL, f"round({_RATIO('text')}, 6)"),
     "f28_readable_tokens": (texts, lambda: F.md5(T.readable_tokens(_with_misread())), TEXTS_SQL, f"md5(array_to_string(list_filter(string_split_regex({_MENDED}, '{DWS}+'), lambda x: len(x) > 0 AND {_RATIO('x')} >= 0.3), chr(10)))"),
+    "f38_dictionary": (texts, lambda: F.to_json(T.dictionary_check(F.substring_index("text", "\n", 1)), {"ignoreNullFields": "false"}), TEXTS_SQL,
+                       f"""'{{"known":' || CASE WHEN len({trim('split_part(text, chr(10), 1)')}) > 0 THEN 'true' ELSE 'false' END || ',"is_valid":true,"suggested_correction":null,"reason":"literal_transcription_mode"}}'"""),
     "p1_degenerate": (texts, lambda: T.degenerate(F.col("text")), TEXTS_SQL, r"len(text) > 30000 OR regexp_matches(text, '_{200}|\.{200}| {200}|─{200}|-{200}') OR len(list_filter(list_distinct(string_split(text, '')), lambda c: c <> '' AND NOT regexp_matches(c, '\s') AND contains(text, repeat(c, 80)))) > 0"),
     "p2_blank_safe": (texts, lambda: F.md5(T.blank_safe(F.col("text"))), TEXTS_SQL, f"md5(substring(regexp_replace(text, '_{{81,}}', '{'_' * 28}', 'g'), 1, 12000))"),
     "p3_review_warnings": (texts, lambda: F.array_join(T.review_warnings(F.col("text")), ","), None, None),
