@@ -38,6 +38,15 @@ def test_stages_act_on_what_came_before(spark, sf):
     assert set(packed.doc_id) == set(r.doc_id for r in docs.select("doc_id").collect())
 
 
+def test_one_of_each_group_by_brute_force(spark, sf):
+    from tests.llm.test_jaccardjoin import brute
+
+    docs = P.read(spark, sf, "documents")
+    classes = {doc: least for doc, least, _ in brute([(r.doc_id, r.text) for r in docs.collect()])}
+    kept = [classes[r.doc_id] for r in P.keep_one_of_each(spark, docs, sf).collect()]
+    assert sorted(kept) == sorted(set(classes.values())) and len(kept) < len(classes)
+
+
 def test_stages_on_odd_rows(spark, docs, odd, sf):
     from pyspark.sql import functions as F
 
