@@ -51,8 +51,11 @@ LAYOUT_KINDS = ["pictures", "matching", "mcq", "true_false", "fill_blanks", "tra
 
 
 def safe_layout(proposals: DataFrame, evidence: DataFrame) -> DataFrame:
-    """[P18, J1] Proposals (doc_id, ord, title, kind, columns) whose section exists: kind and columns held to the evidence, first per title."""
-    first = Window.partitionBy("doc_id", "title").orderBy("ord")
+    """[P18, J1] Proposals (doc_id, ord, title, kind, columns) whose section exists: kind and columns held to the evidence, first per title.
+
+    Of proposals with one ord the one with the largest place counts, where there is such a column.
+    """
+    first = Window.partitionBy("doc_id", "title").orderBy("ord", *(F.desc(c) for c in proposals.columns if c == "place"))
     kept = (
         proposals.where(F.col("kind").isin(LAYOUT_KINDS))
         .join(evidence.select("doc_id", F.col("section").alias("title"), "images", "widest"), ["doc_id", "title"])

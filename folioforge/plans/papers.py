@@ -117,7 +117,9 @@ PROPOSALS = """SELECT l_orderkey AS doc_id, l_linenumber AS ord, CASE WHEN l_par
 
 
 def layout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    proposals = spark.sql(PROPOSALS.replace("lineitem", "{lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+    # Rows can share an order and line number; the SQL's join lists such rows latest first, so their place in the input goes along.
+    placed = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+    proposals = spark.sql(PROPOSALS.replace(" FROM lineitem", ", place FROM {lineitem}"), lineitem=placed)
     return L.safe_layout(proposals, L.section_evidence(paper_lines(spark, sf_dir)))
 
 
