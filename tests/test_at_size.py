@@ -1,5 +1,10 @@
 """Rules that hold at any size."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from folioforge.operators import findings as N
 from folioforge.operators import lines as L
 
 
@@ -9,3 +14,36 @@ def test_layout_ties(spark):
     for order in (rows, rows[::-1]):
         proposals = spark.createDataFrame(order, "doc_id long, ord int, title string, kind string, columns int, place int")
         assert [r.kind for r in L.safe_layout(proposals, evidence).collect()] == ["table"]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_near_values_by_brute_force(spark):
+    r = random.Random(5)
+    base = ["".join(r.choice("abक") for _ in range(n)) for n in [0, 1, 2, 3, *range(4, 32)] * 2]
+    texts = set(base)
+    for t in base:
+        for _ in range(3):
+            c = list(t)
+            for _ in range(r.randint(1, 3)):
+                k = r.randint(0, len(c))
+                c[k : k + r.randint(0, 1)] = r.choice(["", "a", "b"])
+            texts.add("".join(c))
+    rows = [(d, t, k) for d in (1, 2) for k, t in enumerate(sorted(texts, key=lambda t: (hash(t) if d == 1 else 0, t)))] + [(None, "abcdefg", 1), (None, "abcdefh", 2), (1, None, 999)]
+    found = N.similar_values(spark.createDataFrame(rows, "doc_id long, value string, line_no int"))
+    at = {(d, t): k for d, t, k in rows}
+    close = {(d, *sorted((a, b), key=lambda t: at[d, t])) for d in (1, 2) for a in texts for b in texts if a < b and abs(len(a) - len(b)) <= 2 and (e := edits(a, b)) <= 2 and e < min(len(a), len(b)) * 0.3}
+    pairs = [tuple(x) for x in found.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == close
+
+
+def test_values_meet_only_where_they_can_be_near(spark):
+    values = spark.range(3000).select(F.lit(1).alias("doc_id"), F.format_string("account %d", F.col("id") * 7919).alias("value"), F.lit(1).alias("n"), F.col("id").alias("first_line")).withColumn("own", F.col("first_line"))
+    assert N.candidates(values, ["doc_id"]).count() < 30_000  # of 4.5 million
