@@ -8,11 +8,12 @@ blocks, and the nearest ones vote with their labels, weighted by similarity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -86,35 +87,47 @@ def weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return unit(np.concatenate([unit(x[:, :BUCKETS] * idf[:BUCKETS]), x[:, BUCKETS:] * (idf[BUCKETS:] / 8)], axis=1))
 
 
-def leading(x: np.ndarray, rank: int, seed: int = 17, rounds: int = 6) -> np.ndarray:
-    """The leading right singular vectors, by subspace iteration from a fixed start, with fixed signs."""
-    q = np.random.Generator(np.random.PCG64(seed)).standard_normal((x.shape[1], min(rank + 16, *x.shape)))
+def leading(blocks: Callable[[], Iterator[np.ndarray]], shape: tuple[int, int], rank: int, seed: int = 17, rounds: int = 6) -> np.ndarray:
+    """The leading right singular vectors of the matrix that the blocks of rows make up, by subspace iteration from a fixed start, with fixed signs.
+
+    Each round asks for the blocks anew, so one block at a time is held in double precision.
+    """
+    q = np.random.Generator(np.random.PCG64(seed)).standard_normal((shape[1], min(rank + 16, *shape)))
     for _ in range(rounds):
-        q = np.linalg.qr(x.T @ (x @ q))[0]
-    _, _, turn = np.linalg.svd(x @ q, full_matrices=False)
+        q = np.linalg.qr(sum(x.T @ (x @ q) for x in map(np.float64, blocks())))[0]
+    _, _, turn = np.linalg.svd(np.concatenate([x @ q for x in blocks()]), full_matrices=False)
     basis = q @ turn[:rank].T
     return basis * np.sign(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])])
 
 
-def fit(sample: DataFrame, rank: int = RANK) -> Model | None:
-    """The model from (doc_id, text, label); None if there is no labelled row."""
+def fit(sample: DataFrame, rank: int = RANK, rows: int = 512) -> Model | None:
+    """The model from (doc_id, text, label); None if there is no labelled row.
+
+    The driver holds the sample's terms once, as the halves that the executors send, and widens and weights that many rows at a time.
+    """
 
     @arrow_udf("binary")
     def vector(texts: pa.Array) -> pa.Array:
         data, off = bytes_of(texts)
         return pa.array([r.tobytes() for a, b in row_blocks(off, rows=256) for r in terms(data[off[a] : off[b]], off[a : b + 1] - off[a]).astype(np.float16)], pa.binary())
 
-    rows = sample.select("doc_id", "label", vector("text").alias("v")).toPandas()
-    if rows.empty:
+    found = sample.select("doc_id", "label", vector("text").alias("v")).toArrow()
+    n, width = len(found), BUCKETS + SHAPES
+    if not n:
         return None
-    rows = rows.sort_values(["doc_id", "v"])
-    x = np.frombuffer(b"".join(rows.v), np.float16).reshape(len(rows), BUCKETS + SHAPES).astype(np.float32)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    x = weighted(x, idf)
-    basis = leading(x, min(rank, len(x)))
-    project = basis.astype(np.float32)
-    labels = rows.label.to_numpy(np.float32)
-    return Model(idf, project, unit(x @ project), labels, float(labels.mean()))
+    order = pc.sort_indices(found, sort_keys=[("doc_id", "ascending"), ("v", "ascending")]).to_numpy()
+    labels = found.column("label").to_numpy().astype(np.float32)[order]
+    sent = [v.as_buffer() for v in found.column("v")]
+
+    def blocks(weigh: Callable[[np.ndarray], np.ndarray]) -> Iterator[np.ndarray]:
+        for a in range(0, n, rows):
+            yield weigh(np.stack([np.frombuffer(sent[k], np.float16) for k in order[a : a + rows]]).astype(np.float32))
+
+    own = sum((x > 0).sum(0) for x in blocks(lambda x: x))
+    idf = np.log((1 + n) / (1 + own)).astype(np.float32) + 1
+    each = lambda: blocks(lambda x: weighted(x, idf))
+    project = leading(each, (n, width), min(rank, n)).astype(np.float32)
+    return Model(idf, project, np.concatenate([unit(x @ project) for x in each()]), labels, float(labels.mean()))
 
 
 def vote(model: Model, x: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
