@@ -47,3 +47,21 @@ def test_near_values_by_brute_force(spark):
 def test_values_meet_only_where_they_can_be_near(spark):
     values = spark.range(3000).select(F.lit(1).alias("doc_id"), F.format_string("account %d", F.col("id") * 7919).alias("value"), F.lit(1).alias("n"), F.col("id").alias("first_line")).withColumn("own", F.col("first_line"))
     assert N.candidates(values, ["doc_id"]).count() < 30_000  # of 4.5 million
+
+
+def test_smart_fit_reads_blocks_once(spark):
+    spark.sparkContext.setLogLevel("ERROR")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    big = [(1, k, "text", 1) for k in range(0, 38)] + [(1, 38, "blank", 1), (1, 39, "blank", 1), (1, 40, "text", 1), (1, 41, "blank", 1)]
+    rows = [*big, *((2, k, ("text", "blank")[k % 2], 1) for k in range(80)), *((3, k, "blank", 1) for k in range(50)), (4, 0, "blank", 1), (4, 1, "text", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, line_no int, kind string, n_lines long").withColumn("kind", counted("kind"))
+    found = sorted(map(tuple, L.smart_fit(df, 1).select("doc_id", "line_no", "kind").collect()))
+    # 40 lines are left of the first; of the second, blanks go too; the third has nothing else; the fourth fits as it is.
+    assert found == sorted([(1, k, "text") for k in range(38)] + [(1, 38, "blank"), (1, 40, "text")] + [(2, k, "text") for k in range(0, 80, 2)] + [(4, 0, "blank"), (4, 1, "text")])
+    assert seen.value == len(rows)
