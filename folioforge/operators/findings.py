@@ -70,7 +70,8 @@ def candidates(values: DataFrame, keys: list[str]) -> DataFrame:
     x, y = keyed.select(F.col("own").alias("x"), "key"), keyed.select(F.col("own").alias("y"), "key")
     # Values that happen to share a number are candidates as well.
     same = values.groupBy("own").agg(F.count("*").alias("n")).where("n > 1").select(F.col("own").alias("x"), F.col("own").alias("y"))
-    return x.join(y, "key").where("x < y").select("x", "y").distinct().unionAll(same)
+    # Sizes are estimated before keys are made, so the planner would send a side of hundreds of rows a value through the driver.
+    return x.join(y.hint("merge"), "key").where("x < y").select("x", "y").distinct().unionAll(same)
 
 
 def close_pairs(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,7 +81,7 @@ def close_pairs(values: DataFrame, keys: list[str]) -> DataFrame:
     """
     values = values.dropna(subset=[*keys, "value"]).withColumn("own", F.xxhash64(*keys, "value"))
     side = lambda own, c: values.select(F.col("own").alias(own), F.struct("first_line", "value", "n").alias(c), F.struct(*keys).alias(f"of_{c}"))
-    met = candidates(values, keys).join(side("x", "l"), "x").join(side("y", "r"), "y").where("of_l = of_r AND (x < y OR l < r)")
+    met = candidates(values, keys).join(side("x", "l").hint("merge"), "x").join(side("y", "r").hint("merge"), "y").where("of_l = of_r AND (x < y OR l < r)")
     a, b = F.least("l", "r"), F.greatest("l", "r")
     return met.where((F.col("l.value") != F.col("r.value")) & near(F.col("l.value"), F.col("r.value"))).select(
         "of_l.*", a["value"].alias("a"), a["n"].alias("n_a"), a["first_line"].alias("at_a"), b["value"].alias("b"), b["n"].alias("n_b"), b["first_line"].alias("at_b"))

@@ -65,3 +65,10 @@ def test_smart_fit_reads_blocks_once(spark):
     # 40 lines are left of the first; of the second, blanks go too; the third has nothing else; the fourth fits as it is.
     assert found == sorted([(1, k, "text") for k in range(38)] + [(1, 38, "blank"), (1, 40, "text")] + [(2, k, "text") for k in range(0, 80, 2)] + [(4, 0, "blank"), (4, 1, "text")])
     assert seen.value == len(rows)
+
+
+def test_values_meet_without_the_driver(spark, tmp_path):
+    spark.range(2000).select(F.lit(1).alias("doc_id"), F.format_string("account %d", F.col("id") * 7919).alias("value"), F.col("id").cast("int").alias("line_no")).write.parquet(f"{tmp_path}/values")
+    values = spark.read.parquet(f"{tmp_path}/values")  # a few KB, far under the size that is broadcast
+    for found in (N.similar_values(values), N.inconsistent_fields(values.withColumn("field", F.lit("name")))):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
