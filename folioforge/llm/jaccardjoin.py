@@ -44,9 +44,10 @@ def shingles(data: np.ndarray, off: np.ndarray, n: int = NGRAM) -> tuple[np.ndar
     first = np.searchsorted(row, np.arange(rows))
     count = np.bincount(row, minlength=rows)
     # Hashes of words, not of the bytes between them: white space of any length is alike.
-    gram = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    most = max(0, len(words) - n + 1)
+    gram = np.zeros(most, np.uint64)
     for k in range(n):
-        gram = mix(gram + words[k : len(words) - n + 1 + k])
+        gram = mix(gram + words[k : most + k])
     inside = row[: len(gram)] == row[n - 1 :] if len(gram) else np.zeros(0, bool)
     h, r = gram[inside], row[: len(gram)][inside]
     short = np.flatnonzero((count > 0) & (count < n))

@@ -1,6 +1,10 @@
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 from folioforge.llm import jaccardjoin as J
+from folioforge.llm.common import bytes_of
 
 
 def brute(rows):
@@ -59,3 +63,15 @@ def test_odd_rows(docs, odd):
 def test_bands_reach_the_recall():
     b = J.bands_for(0.8, 7, 0.9995)
     assert 1 - (1 - 0.8**7) ** b >= 0.9995 > 1 - (1 - 0.8**7) ** (b - 1)
+
+
+def test_sets_of_few_words():
+    # A block may hold any few words in all, as where a short text comes last in a batch.
+    for rows in [*([" ".join("abcdefgh"[:n])] for n in range(9)), ["a b", "c", ""], ["", "a", "b", "c d"], ["a", "b", "c"]]:
+        grams, off = J.shingles(*bytes_of(pa.array(rows)))
+        assert np.diff(off).tolist() == [max(1, len(t.split()) - 4) if t.split() else 0 for t in rows]
+        assert len(grams) == off[-1]
+
+
+def test_three_words_alone(docs):
+    assert [tuple(r) for r in J.near_duplicates(docs([(1, "only three words")])).collect()] == [(1, 1, 0)]
